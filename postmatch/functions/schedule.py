@@ -6,8 +6,6 @@ All expressions take ``now`` as an argument and assume a UTC session time zone:
 
 from __future__ import annotations
 
-from zoneinfo import available_timezones
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,10 +14,10 @@ from .text import clean_trim, col
 
 
 def valid_timezone(c) -> Column:
-    """The zone itself when known, else the default zone."""
-    z = col(c)
-    known = F.array(*[F.lit(n) for n in sorted(available_timezones())])
-    return F.when(F.array_contains(known, z), z).otherwise(F.lit(DEFAULT_TIMEZONE))
+    """The zone itself when the JVM knows it, else the default zone (an unknown one would fail the job)."""
+    z = F.nullif(col(c), F.lit(""))
+    known = F.concat(F.lit("2000-01-01 00:00:00 "), z).try_cast("timestamp").isNotNull()
+    return F.when(known, z).otherwise(F.lit(DEFAULT_TIMEZONE))
 
 
 def times_or_default(c) -> Column:
@@ -49,8 +47,8 @@ def next_notification(now: Column, zone: Column, times: Column) -> Column:
     def slot(t: Column) -> Column:
         parts = F.split(t, ":")
         at = day + _minutes(_number_or(F.get(parts, 0), 9) * 60 + _number_or(F.get(parts, 1), 0))
-        moved = F.when(at <= clock, at + F.make_dt_interval(days=F.lit(1))).otherwise(at)
-        return F.to_utc_timestamp(moved, zone)
+        passed = F.to_utc_timestamp(at, zone) <= now
+        return F.to_utc_timestamp(F.when(passed, at + F.make_dt_interval(days=F.lit(1))).otherwise(at), zone)
 
     return F.array_min(F.transform(times, slot))
 

@@ -8,26 +8,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import schedule as S
+from ..functions.text import first_truthy
 from ..schema import DEFAULT_TIMES, DEFAULT_TIMEZONE, MAX_CATCHUP_LAG_MINUTES, SLOT_TTL_HOURS
 from .state import timestamp
 
 
-def with_effective_schedule(preferences: DataFrame) -> DataFrame:
-    """Add ``zone`` and ``times``: the user's own, with the defaults where missing or unknown."""
+def with_effective_schedule(preferences: DataFrame, timezone: str = DEFAULT_TIMEZONE,
+                            times: Sequence[str] = tuple(DEFAULT_TIMES)) -> DataFrame:
+    """Add ``zone`` and ``times``: the user's own, else the configured ones given here."""
+    configured = F.array(*[F.lit(t) for t in times])
     return preferences.withColumns({
-        "zone": S.valid_timezone("timezone"),
-        "times": S.times_or_default("notification_times"),
+        "zone": S.valid_timezone(F.coalesce(first_truthy("timezone"), F.lit(timezone))),
+        "times": S.times_or_default(F.coalesce("notification_times", configured)),
     })
 
 
-def next_times(preferences: DataFrame, now) -> DataFrame:
-    return with_effective_schedule(preferences).withColumn(
+def next_times(preferences: DataFrame, now, timezone: str = DEFAULT_TIMEZONE,
+               times: Sequence[str] = tuple(DEFAULT_TIMES)) -> DataFrame:
+    return with_effective_schedule(preferences, timezone, times).withColumn(
         "next_time", S.next_notification(timestamp(now), F.col("zone"), F.col("times"))
     )
 
 
-def due_users(preferences: DataFrame, now) -> DataFrame:
-    return with_effective_schedule(preferences).where(
+def due_users(preferences: DataFrame, now, timezone: str = DEFAULT_TIMEZONE,
+              times: Sequence[str] = tuple(DEFAULT_TIMES)) -> DataFrame:
+    return with_effective_schedule(preferences, timezone, times).where(
         S.is_due(timestamp(now), F.col("zone"), F.col("times"))
     ).drop("zone", "times")
 
@@ -44,8 +49,10 @@ def earliest_run(preferences: DataFrame, now, timezone: str = DEFAULT_TIMEZONE,
                  times: Sequence[str] = tuple(DEFAULT_TIMES)) -> DataFrame:
     """One row: the earliest next slot over the global schedule and every user."""
     at = timestamp(now)
-    overall = S.next_notification(at, F.lit(timezone), F.array(*[F.lit(t) for t in times]))
-    return next_times(preferences, now).agg(
+    overall = S.next_notification(
+        at, S.valid_timezone(F.lit(timezone)), S.times_or_default(F.array(*[F.lit(t) for t in times]))
+    )
+    return next_times(preferences, now, timezone, times).agg(
         F.least(F.min("next_time"), overall).alias("next_run")
     )
 

@@ -1,0 +1,41 @@
+"""Intermediate tables in the shared folder the cluster names.
+
+A staged table survives the loss of executors: its readers start from files instead of lineage.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; a temporary folder only where a local session sets none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+    folder = tempfile.mkdtemp(prefix="postmatch-stage-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+class Stager:
+    """Writes DataFrames under one run folder and hands back readers of the files."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
+def unstaged(df: DataFrame, name: str) -> DataFrame:
+    """Stand-in for :class:`Stager` that keeps one lazy plan."""
+    return df
