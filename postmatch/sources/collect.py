@@ -28,7 +28,7 @@ def read_payloads(spark: SparkSession, path: str, source: str, request_id: str |
 
 def feed_postings(items: DataFrame, profiles: DataFrame, spec: SourceSpec, now, query_defaults: bool = True) -> DataFrame:
     """Postings of a shared feed: each user gets the items that contain one of their keywords."""
-    feed = items.withColumn("_search", spec.search)
+    feed = items.withColumn("_search", spec.search())
     pairs = keyword_search(feed, "_search", profiles, spec.trim_keywords, spec.cap)
     queries = query_columns(profiles)
     if not query_defaults:

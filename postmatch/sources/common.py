@@ -28,7 +28,7 @@ class SourceSpec:
     rank: int
     items: Callable[[DataFrame], DataFrame]
     fields: Callable[[Column], dict[str, Column]]
-    search: Column | None = None
+    search: Callable[[], Column] | None = None
     trim_keywords: bool = False
     cap: int | None = None
 

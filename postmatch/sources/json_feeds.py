@@ -64,10 +64,11 @@ def arbeitnow_items(payloads: DataFrame) -> DataFrame:
     }).where((F.coalesce("title", F.lit("")) != "") & (F.coalesce("link", F.lit("")) != ""))
 
 
-ARBEITNOW_SEARCH = F.lower(F.concat_ws(
-    " ", "title", F.coalesce("company_name", F.lit("")),
-    F.coalesce(F.array_join("tags", " "), F.lit("")), F.coalesce("place", F.lit("")),
-))
+def arbeitnow_search() -> Column:
+    return F.lower(F.concat_ws(
+        " ", "title", F.coalesce("company_name", F.lit("")),
+        F.coalesce(F.array_join("tags", " "), F.lit("")), F.coalesce("place", F.lit("")),
+    ))
 
 
 def arbeitnow_fields(now: Column) -> dict[str, Column]:

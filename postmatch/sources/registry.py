@@ -13,10 +13,10 @@ FEED_CAP = 20
 
 _ORDER = [
     ("arbeitnow", "arbeitnow", J.arbeitnow_items, J.arbeitnow_fields,
-     {"search": J.ARBEITNOW_SEARCH, "trim_keywords": True, "cap": FEED_CAP}),
+     {"search": J.arbeitnow_search, "trim_keywords": True, "cap": FEED_CAP}),
     ("remotive", "remotive", J.remotive_items, J.remotive_fields, {}),
     ("weworkremotely", "we_work_remotely", R.weworkremotely_items, R.weworkremotely_fields,
-     {"search": R.WEWORKREMOTELY_SEARCH}),
+     {"search": R.weworkremotely_search}),
     ("mostaql", "mostaqel", H.items_of("mostaql"), H.mostaql_fields, {}),
     ("tanqeeb", "tanqeeb", H.items_of("tanqeeb"),
      H.site_fields("https://www.tanqeeb.com", "Tanqeeb Employer", "Middle East", body=True, slash=True), {}),

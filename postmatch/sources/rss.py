@@ -42,7 +42,8 @@ def weworkremotely_items(payloads: DataFrame) -> DataFrame:
     }).drop("raw_title")
 
 
-WEWORKREMOTELY_SEARCH = F.lower(F.concat_ws(" ", "title", "body"))
+def weworkremotely_search() -> Column:
+    return F.lower(F.concat_ws(" ", "title", "body"))
 
 
 def weworkremotely_fields(now: Column) -> dict[str, Column]:
