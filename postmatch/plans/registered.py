@@ -532,8 +532,10 @@ def latest_slots(spark, sf):
 def due_users(spark, sf):
     """Users due at each full half hour seen in the events."""
     half = F.timestamp_seconds(F.floor(F.unix_timestamp("at") / 1800) * 1800)
-    moments = _instants(spark, sf).withColumn("at", half)
-    return moments.where(clock.is_due(F.col("at"), F.col("zone"), F.col("times"))).select("event_id", "user_id", "at")
+    moments = _instants(spark, sf).withColumn("moment", half)
+    return moments.where(clock.is_due(F.col("moment"), F.col("zone"), F.col("times"))).select(
+        "event_id", "user_id", "moment"
+    )
 
 
 @query

@@ -150,7 +150,7 @@ def _stream_keys(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState,
             kept.append(position)
             last = int(us)
     state.update((last,))
-    state.setTimeoutDuration(max(1, window // 1000))
+    state.setTimeoutTimestamp(max((last + window) // 1000, state.getCurrentWatermarkMs()) + 1)
     if kept:
         yield times.iloc[kept][columns]
 
@@ -158,8 +158,8 @@ def _stream_keys(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState,
 def dedup_update_stream(updates: DataFrame, window_seconds: float = UPDATE_DEDUP_SECONDS) -> DataFrame:
     """Kept updates of a stream, by the same rule as :func:`dedup_updates`.
 
-    The state of a key is the time of its last kept update; it is dropped after a window without input.
-    Within a micro-batch updates are taken in time order; an update older than the last kept one of its key
+    The state of a key is the time of its last kept update; it is dropped once the watermark, one window
+    behind the newest update, has passed the end of its window. Within a micro-batch updates are taken in time order; an update older than the last kept one of its key
     is dropped as a repeat.
     """
     window = int(window_seconds * 1_000_000)
@@ -168,13 +168,13 @@ def dedup_update_stream(updates: DataFrame, window_seconds: float = UPDATE_DEDUP
         # A null key passes: it is made unique.
         "key": F.coalesce(dedup_key(), F.concat(F.lit("other:"), F.uuid())),
         "us": F.unix_micros("ts"),
-    })
+    }).withWatermark("ts", f"{window} microseconds")
     return keyed.groupBy("key").applyInPandasWithState(
         partial(_stream_keys, window=window, columns=columns),
         outputStructType=updates.schema,
         stateStructType="last long",
         outputMode="append",
-        timeoutConf=GroupStateTimeout.ProcessingTimeTimeout,
+        timeoutConf=GroupStateTimeout.EventTimeTimeout,
     )
 
 
