@@ -37,86 +37,99 @@ def _next_kept(times: np.ndarray, window: int) -> np.ndarray:
     return np.searchsorted(times, times + window, side="left")
 
 
-def _summary(pdf: pd.DataFrame, window: int, width: int) -> pd.DataFrame:
+def _effect(times: np.ndarray, window: int, width: int) -> tuple[list[int], list[int]]:
     """Step function of one chunk: first row that can be kept (up to ``entry``) -> last row kept (``exit``).
 
     Only rows in the first window of the chunk, and the first row after it, can be the first kept.
     """
-    times = np.sort(pdf["us"].to_numpy())
     start = (times[0] // width) * width
     entries = np.arange(min(np.searchsorted(times, start + window, side="left") + 1, len(times)))
     following = _next_kept(times, window)
     last = entries.copy()
-    while True:
-        step = following[last]
-        alive = step < len(times)
-        if not alive.any():
-            break
-        last[alive] = step[alive]
-    frame = pd.DataFrame({"entry": times[entries], "exit": times[last]})
-    frame = frame.groupby("exit", as_index=False)["entry"].max()
-    return frame.assign(key=pdf["key"].iloc[0], chunk=pdf["chunk"].iloc[0])[["key", "chunk", "entry", "exit"]]
-
-
-def _pass_along(pdf: pd.DataFrame, window: int) -> pd.DataFrame:
-    """Time of the last kept row before each chunk of one chain."""
-    state, out = None, []
-    for (key, chunk), steps in pdf.sort_values(["chunk", "entry"]).groupby(["key", "chunk"], sort=False):
-        out.append((key, chunk, state))
-        reachable = steps if state is None else steps[steps["entry"] >= state + window]
-        if len(reachable):
-            state = int(reachable["exit"].iloc[0])
-    return pd.DataFrame(out, columns=["key", "chunk", "before"]).astype({"before": "Int64"})
-
-
-def _mark(pdf: pd.DataFrame, window: int) -> pd.DataFrame:
-    """Kept times of one chunk given the last kept time before it."""
-    times = np.unique(pdf["us"].to_numpy())
-    before = pdf["before"].iloc[0]
-    at = 0 if pd.isna(before) else int(np.searchsorted(times, before + window, side="left"))
-    following, kept = _next_kept(times, window), []
-    while at < len(times):
-        kept.append(times[at])
-        at = following[at]
-    return pd.DataFrame({"key": pdf["key"].iloc[0], "us": kept})
+    alive = following[last] < len(times)
+    while alive.any():
+        last[alive] = following[last[alive]]
+        alive = following[last] < len(times)
+    final = np.append(last[1:] != last[:-1], True)  # exits never decrease: keep the last entry of each
+    return times[entries[final]].tolist(), times[last[final]].tolist()
+
+
+def _effects(batches: Iterator[pd.DataFrame], window: int, width: int) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        steps = [_effect(np.asarray(times), window, width) for times in batch["times"]]
+        yield batch[["key", "chunk", "chain"]].assign(
+            entries=[s[0] for s in steps], exits=[s[1] for s in steps]
+        )
+
+
+def _pass_along(batches: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFrame]:
+    """Time of the last kept row before each chunk of a chain."""
+    for batch in batches:
+        out = []
+        for key, steps in zip(batch["key"], batch["steps"]):
+            state = None
+            for step in steps:
+                out.append((key, step["chunk"], state))
+                at = 0 if state is None else int(np.searchsorted(step["entries"], state + window, side="left"))
+                if at < len(step["entries"]):
+                    state = int(step["exits"][at])
+        yield pd.DataFrame(out, columns=["key", "chunk", "before"]).astype({"before": "Int64"})
+
+
+def _marks(batches: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFrame]:
+    """Kept times of each chunk given the last kept time before it."""
+    for batch in batches:
+        keys, kept = [], []
+        for key, before, times in zip(batch["key"], batch["before"], batch["times"]):
+            times = np.asarray(times)
+            at = 0 if pd.isna(before) else int(np.searchsorted(times, int(before) + window, side="left"))
+            following = _next_kept(times, window)
+            while at < len(times):
+                keys.append(key)
+                kept.append(times[at])
+                at = following[at]
+        yield pd.DataFrame({"key": pd.Series(keys, dtype=object), "us": pd.Series(kept, dtype="int64")})
 
 
 def kept_times(rows: DataFrame, window: int, width: int) -> DataFrame:
     """Distinct (key, us) that are kept, for rows (key, us) in microseconds; batch only.
 
-    Keys with one row in a chunk, and chunks a whole window away from the one before, need no Python.
+    A chunk of a key becomes one row with its sorted times, so that Python sees whole Arrow batches of
+    chunks. A chunk of one row, with a whole window free before it, needs no Python at all.
     """
-    instants = rows.select("key", "us", F.floor(F.col("us") / width).cast("long").alias("chunk")).distinct()
-    spans = instants.groupBy("key", "chunk").agg(
-        F.min("us").alias("low"), F.max("us").alias("high"), F.count(F.lit(1)).alias("n")
+    chunks = (
+        rows.select("key", "us", F.floor(F.col("us") / width).cast("long").alias("chunk"))
+        .groupBy("key", "chunk")
+        .agg(F.array_sort(F.collect_set("us")).alias("times"))
     )
     in_order = Window.partitionBy("key").orderBy("chunk")
-    linked = F.col("low") - F.lag("high").over(in_order) < window
-    spans = spans.withColumn("link", F.coalesce(linked, F.lit(False))).withColumn(
-        "chain", F.sum(F.when(F.col("link"), 0).otherwise(1)).over(in_order)
+    spans = (
+        chunks.select("key", "chunk", F.get("times", 0).alias("low"), F.element_at("times", -1).alias("high"))
+        .withColumn("link", F.coalesce(F.col("low") - F.lag("high").over(in_order) < window, F.lit(False)))
+        .withColumn("chain", F.sum(F.when(F.col("link"), 0).otherwise(1)).over(in_order))
+        .withColumn("chunks", F.count(F.lit(1)).over(Window.partitionBy("key", "chain")))
+        .select("key", "chunk", "chain", "chunks")
     )
-    whole = Window.partitionBy("key", "chain")
-    spans = spans.withColumn("chunks", F.count(F.lit(1)).over(whole))
-
-    single = (F.col("chunks") == 1) & (F.col("n") == 1)
-    alone = spans.where(single).select("key", F.col("low").alias("us"))
+    placed = chunks.join(spans, ["key", "chunk"])
+    single = (F.col("chunks") == 1) & (F.size("times") == 1)
 
-    busy = spans.where(~single)
-    linked_rows = instants.join(busy.where(F.col("chunks") > 1).select("key", "chunk", "chain"), ["key", "chunk"])
-    steps = linked_rows.groupBy("key", "chunk").applyInPandas(
-        partial(_summary, window=window, width=width), "key string, chunk long, entry long, exit long"
+    effects = placed.where("chunks > 1").select("key", "chunk", "chain", "times").mapInPandas(
+        partial(_effects, window=window, width=width),
+        "key string, chunk long, chain long, entries array<long>, exits array<long>",
     )
-    chains = steps.join(busy.select("key", "chunk", "chain"), ["key", "chunk"])
-    before = chains.groupBy("key", "chain").applyInPandas(
-        partial(_pass_along, window=window), "key string, chunk long, before long"
+    before = (
+        effects.groupBy("key", "chain")
+        .agg(F.array_sort(F.collect_list(F.struct("chunk", "entries", "exits"))).alias("steps"))
+        .select("key", "steps")
+        .mapInPandas(partial(_pass_along, window=window), "key string, chunk long, before long")
     )
     marked = (
-        instants.join(busy.select("key", "chunk"), ["key", "chunk"])
+        placed.where(~single)
         .join(before, ["key", "chunk"], "left")
-        .groupBy("key", "chunk")
-        .applyInPandas(partial(_mark, window=window), "key string, us long")
+        .select("key", "before", "times")
+        .mapInPandas(partial(_marks, window=window), "key string, us long")
     )
-    return alone.unionByName(marked)
+    return placed.where(single).select("key", F.get("times", 0).alias("us")).unionByName(marked)
 
 
 def dedup_updates(updates: DataFrame, key: Column | None = None, order: str = "message_id",

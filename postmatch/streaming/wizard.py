@@ -10,10 +10,10 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -86,90 +86,90 @@ def transition(step: str, kind: str, text: str | None, data: str | None) -> tupl
     return stay
 
 
-def replay(updates: pd.DataFrame, step: str, answers: dict) -> tuple[str, dict, bool, list[tuple]]:
+def replay(updates: Iterable[dict], step: str, answers: dict) -> tuple[str, dict, bool, list[tuple]]:
     """Run updates in order. Returns (step, answers, whether the start was cleared, confirmed rows)."""
     cleared, confirmed, answers = False, [], dict(answers)
-    for user, ts, kind, text, data in zip(*(updates[c] for c in ("user_id", "ts", "kind", "text", "data"))):
-        step, fields, clear, confirm = transition(step, kind, text, data)
+    for u in updates:
+        step, fields, clear, confirm = transition(step, u["kind"], u["text"], u["data"])
         if clear:
             answers, cleared = {}, True
         answers.update(fields)
         if confirm and all(answers.get(a) for a in ANSWERS[:3]):
-            confirmed.append((user, ts, *[answers.get(a) for a in ANSWERS]))
+            confirmed.append((u["ts"], *[answers.get(a) for a in ANSWERS]))
     return step, answers, cleared, confirmed
 
 
-def _ordered(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pdf.sort_values(["ts", "message_id"], kind="stable").astype({"text": object, "data": object}).where(
-        lambda d: d.notna(), None
-    )
-
-
 def _rows(confirmed: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(confirmed, columns=["user_id", "ts", *ANSWERS])
 
 
-def _describe(pdf: pd.DataFrame) -> pd.DataFrame:
-    """What one chunk does, from every step it may start in."""
-    rows = _ordered(pdf)
-    effects = {}
-    for start in WIZARD_STEPS:
-        step, answers, cleared, _ = replay(rows, start, {})
-        effects[start] = [step, answers, cleared]
-    return pd.DataFrame(
-        [(pdf["user_id"].iloc[0], pdf["chunk"].iloc[0], json.dumps(effects))],
-        columns=["user_id", "chunk", "effects"],
-    )
+def _effects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What each chunk does, from every step it may start in."""
+    for batch in batches:
+        out = []
+        for updates in batch["updates"]:
+            effects = {start: replay(updates, start, {})[:3] for start in WIZARD_STEPS}
+            out.append(json.dumps(effects))
+        yield batch[["user_id", "chunk"]].assign(effects=out)
 
 
-def _starts(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Step and answers at the start of each chunk of one user."""
-    step, answers, out = _FIRST, {}, []
-    for user, chunk, effects in pdf.sort_values("chunk")[["user_id", "chunk", "effects"]].itertuples(index=False):
-        out.append((user, chunk, step, json.dumps(answers)))
-        step, fields, cleared = json.loads(effects)[step]
-        answers = {**({} if cleared else answers), **fields}
-    return pd.DataFrame(out, columns=["user_id", "chunk", "step", "answers"])
+def _starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Step and answers at the start of each chunk of a user."""
+    for batch in batches:
+        out = []
+        for user, chunks in zip(batch["user_id"], batch["chunks"]):
+            step, answers = _FIRST, {}
+            for c in chunks:
+                out.append((user, c["chunk"], step, json.dumps(answers)))
+                step, fields, cleared = json.loads(c["effects"])[step]
+                answers = {**({} if cleared else answers), **fields}
+        yield pd.DataFrame(out, columns=["user_id", "chunk", "step", "answers"])
 
 
-def _confirmed(pdf: pd.DataFrame) -> pd.DataFrame:
-    step, answers = pdf["step"].iloc[0], pdf["answers"].iloc[0]
-    return _rows(replay(_ordered(pdf), step or _FIRST, json.loads(answers) if answers else {})[3])
+def _confirmed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        out = []
+        for user, updates, step, answers in zip(*(batch[c] for c in ("user_id", "updates", "step", "answers"))):
+            rows = replay(updates, step or _FIRST, json.loads(answers) if answers else {})[3]
+            out.extend((user, *row) for row in rows)
+        yield _rows(out)
 
 
 def confirmed_preferences(updates: DataFrame, chunk: str = CHUNK) -> DataFrame:
     """Raw preference rows (skills as a comma list) confirmed in a finite table of updates.
 
-    Users whose updates fall into one chunk are replayed directly; the others chunk by chunk.
+    A chunk of a user becomes one row with its updates in order, so that Python sees whole Arrow
+    batches of chunks. Users with a single chunk are replayed directly.
     """
-    rows = updates.select(
-        "user_id", "message_id", "kind", "text", "data", "ts",
-        F.window("ts", chunk)["start"].alias("chunk"),
-    )
-    chunks = rows.groupBy("user_id", "chunk").count().select(
-        "user_id", "chunk", F.count(F.lit(1)).over(Window.partitionBy("user_id")).alias("chunks")
+    order = F.struct("ts", "message_id", "kind", "text", "data")
+    chunks = (
+        updates.withColumn("chunk", F.window("ts", chunk)["start"])
+        .groupBy("user_id", "chunk")
+        .agg(F.array_sort(F.collect_list(order)).alias("updates"))
     )
-    long = rows.join(chunks.where("chunks > 1").select("user_id", "chunk"), ["user_id", "chunk"])
-    effects = long.groupBy("user_id", "chunk").applyInPandas(
-        _describe, "user_id long, chunk timestamp, effects string"
+    several = chunks.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("user_id")
+    effects = chunks.join(several, "user_id", "left_semi").mapInPandas(
+        _effects, "user_id long, chunk timestamp, effects string"
     )
-    starts = effects.groupBy("user_id").applyInPandas(
-        _starts, "user_id long, chunk timestamp, step string, answers string"
+    starts = (
+        effects.groupBy("user_id")
+        .agg(F.array_sort(F.collect_list(F.struct("chunk", "effects"))).alias("chunks"))
+        .mapInPandas(_starts, "user_id long, chunk timestamp, step string, answers string")
     )
     return (
-        rows.join(starts, ["user_id", "chunk"], "left")
-        .groupBy("user_id", "chunk")
-        .applyInPandas(_confirmed, CONFIRMED)
+        chunks.join(starts, ["user_id", "chunk"], "left")
+        .select("user_id", "updates", "step", "answers")
+        .mapInPandas(_confirmed, CONFIRMED)
     )
 
 
 def _stream_user(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     step, answers = state.get if state.exists else (_FIRST, "{}")
-    rows = _ordered(pd.concat(list(batches)))
-    step, answers, _, confirmed = replay(rows, step, json.loads(answers))
+    rows = pd.concat(list(batches)).sort_values(["ts", "message_id"], kind="stable")
+    step, answers, _, confirmed = replay(rows.to_dict("records"), step, json.loads(answers))
     state.update((step, json.dumps(answers)))
     if confirmed:
-        yield _rows(confirmed)
+        yield _rows([(key[0], *row) for row in confirmed])
 
 
 def confirmed_preference_stream(updates: DataFrame) -> DataFrame:
