@@ -15,19 +15,27 @@ def posting_url() -> Column:
     return F.coalesce(first_truthy("application_url", "url"), F.lit(""))
 
 
+def _digest(*cols: str) -> Column:
+    # Declared not null: otherwise joins on the key push a null check of this whole expression to the scan.
+    return F.coalesce(F.sha2(F.concat_ws("|", *cols), 256), F.lit(""))
+
+
 def with_fingerprints(postings: DataFrame, identity: Callable[[], Column] | None = None) -> DataFrame:
     """Add ``fingerprint`` (title, company, page) and ``semantic_key`` (title, company).
 
     ``fingerprint`` is the identity used by caches, the sent log and matching; ``semantic_key`` finds
-    copies of one posting across sources. ``identity`` plugs in another fingerprint expression.
+    copies of one posting across sources. ``identity`` plugs in another fingerprint expression. Postings
+    that already carry both keys, e.g. from before they were fanned out to users, are returned as they are.
     """
+    if {"fingerprint", "semantic_key"} <= set(postings.columns) and identity is None:
+        return postings
     df = with_canonical_url(postings, posting_url(), "_u").withColumns(
         {"_t": normalize_title("title"), "_c": normalize_company("company")}
     )
-    own = F.sha2(F.concat_ws("|", "_t", "_c", "_u"), 256)
+    own = _digest("_t", "_c", "_u")
     return df.withColumns({
         "fingerprint": identity() if identity else own,
-        "semantic_key": F.sha2(F.concat_ws("|", "_t", "_c"), 256),
+        "semantic_key": _digest("_t", "_c"),
     }).drop("_t", "_c", "_u")
 
 

@@ -48,6 +48,9 @@ def richness() -> Column:
 
 
 def prepare_postings(postings: DataFrame) -> DataFrame:
+    """Add the normal forms of a posting, unless it got them before it was fanned out to users."""
+    if "m_title" in postings.columns:
+        return postings
     return postings.withColumns({
         "m_title": match_form("title"),
         "m_skills": F.transform("skills", match_form),

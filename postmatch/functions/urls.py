@@ -19,9 +19,8 @@ TRACKING_PARAMS = [
 ]
 # --- end of fixed values ---
 
-# groups: authority, path, query
-_WEB = r"(?s)^(?i:https?|wss?|ftp):[/\\]*([^/\\?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
-_OTHER = r"(?s)^[A-Za-z][A-Za-z0-9+.\-]*:(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
+_WEB = r"^(?i:https?|wss?|ftp):[/\\]*"
+_OTHER = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
 _HOST_CHARS = r"[^\x00-\x20#/:<>?@\[\\\]^|%\x7F]"
 
 
@@ -90,25 +89,38 @@ def with_canonical_url(df: DataFrame, url, out: str = "canonical_url") -> DataFr
     The parts become columns of their own, so that each is computed once instead of being repeated
     inside one large expression.
     """
-    raw, t, authority, path, query = (F.col(f"_{out}_{n}") for n in ("raw", "t", "auth", "path", "query"))
-    web = t.rlike(r"^(?i:https?|wss?|ftp):")
-    other = t.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:")
-    parsed = (web & _authority_ok(authority, True)) | (~web & other & _authority_ok(authority, False))
-    host = F.regexp_replace(F.lower(authority), r"^.*@|:\d*$", "")
-    host = F.regexp_replace(host, r"^www\.", "")
-
-    def part(i: int) -> Column:
-        return F.when(web, F.regexp_extract(t, _WEB, i)).otherwise(F.regexp_extract(t, _OTHER, i))
+    names = ("raw", "web", "rest", "body", "auth", "path", "query", "parsed")
+    raw, web, rest, body, authority, path, query, parsed = (F.col(f"_{out}_{n}") for n in names)
+    text = F.regexp_replace(raw, r"[\t\n\r]", "")
+    slashed = F.startswith(rest, F.lit("//"))
+    host = F.when(
+        authority.rlike("[@:]"), F.regexp_replace(authority, r"^.*@|:\d*$", "")
+    ).otherwise(authority)
+    host = F.lower(host)
+    host = F.when(F.startswith(host, F.lit("www.")), F.substring(host, 5, 1 << 20)).otherwise(host)
+
+    def after(c: Column, head: Column) -> Column:
+        return F.substring(c, F.length(head) + 1, F.length(c))
 
     steps = [
-        {f"_{out}_raw": clean_trim(url)},
-        {f"_{out}_t": _cleaned(raw)},
-        {f"_{out}_auth": part(1), f"_{out}_path": F.translate(part(2), "\\", "/"), f"_{out}_query": part(3)},
-        {f"_{out}_path": _resolve_dots(path), f"_{out}_query": _query(query)},
-        {f"_{out}_path": F.rtrim(_encode_path(path), F.lit("/"))},
+        {"raw": clean_trim(url)},
+        {"web": text.rlike(_WEB), "rest": F.substring_index(text, "#", 1)},
+        # the part after the scheme; null when there is no scheme
+        {"rest": F.when(web, F.regexp_replace(rest, _WEB, "")).when(rest.rlike(_OTHER), F.regexp_replace(rest, _OTHER, ""))},
+        {"body": F.substring_index(rest, "?", 1)},
+        {"query": F.substring(rest, F.length(body) + 2, F.length(rest)),
+         "body": F.when(web, F.translate(body, "\\", "/")).otherwise(body)},
+        {"auth": F.when(web, F.substring_index(body, "/", 1))
+            .when(slashed, F.substring_index(F.substring(body, 3, 1 << 20), "/", 1)).otherwise("")},
+        {"path": F.when(web | ~slashed, after(body, authority)).otherwise(after(F.substring(body, 3, 1 << 20), authority)),
+         "parsed": rest.isNotNull() & F.when(web, _authority_ok(authority, True)).otherwise(
+             _authority_ok(authority, False))},
+        {"path": F.translate(path, "\\", "/"), "query": _query(query)},
+        {"path": _resolve_dots(path)},
+        {"path": F.rtrim(_encode_path(path), F.lit("/"))},
     ]
     for step in steps:
-        df = df.withColumns(step)
+        df = df.withColumns({f"_{out}_{n}": c for n, c in step.items()})
     url_text = F.concat(
         F.lit("https://"),
         host,
@@ -117,13 +129,13 @@ def with_canonical_url(df: DataFrame, url, out: str = "canonical_url") -> DataFr
     )
     fallback = F.rtrim(F.lower(raw), F.lit("/"))
     canonical = F.coalesce(F.when(parsed, F.lower(url_text)).otherwise(fallback), F.lit(""))
-    return df.withColumn(out, canonical).drop(*[f"_{out}_{n}" for n in ("raw", "t", "auth", "path", "query")])
+    return df.withColumn(out, canonical).drop(*[f"_{out}_{n}" for n in names])
 
 
 def is_web_url(c) -> Column:
     """True for a parseable http or https address."""
     t = _cleaned(c)
-    authority = F.regexp_extract(t, _WEB, 1)
+    authority = F.regexp_extract(t, r"^(?i:https?):[/\\]*([^/\\?#]*)", 1)
     return F.coalesce(t.rlike(r"^(?i:https?):") & _authority_ok(authority, True), F.lit(False))
 
 

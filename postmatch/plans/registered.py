@@ -18,10 +18,10 @@ from ..sources.frontier import request_frontier, user_requests
 from ..sources.html_pages import extract_listings
 from ..sources.normalize import normalize_postings
 from ..sources.registry import SOURCES, active_sources
+from ..staging import Stager
 from ..streaming import continuous, subscriptions, updates, wizard
 from . import bindings as B
 from . import pipeline
-from .staging import Stager
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -218,7 +218,9 @@ def user_postings(spark: SparkSession, sf: str, profiles: DataFrame) -> DataFram
     """The first 20 parts that contain a keyword of the user, as that user's postings."""
     feed = _searchable(spark, sf)
     pairs = collect.keyword_search(feed, "searched", profiles, True, 20, "arrival_idx")
-    return pairs.join(feed.drop("searched"), "arrival_idx")
+    # Identity and normal forms belong to the posting: computed before the fan-out to users.
+    known = scoring.prepare_postings(with_fingerprints(feed.drop("searched")))
+    return pairs.join(known, "arrival_idx")
 
 
 @query
@@ -264,7 +266,7 @@ def _mapped(name: str) -> Query:
         items = spec.items(B.payloads(spark, sf, name))
         if spec.shared_feed:
             profiles = B.view(spark, sf, "profiles") if spec.cap else _lot_profiles(spark, sf)
-            return _flat(sources.feed_postings(items, profiles, spec, now()))
+            return _flat(sources.feed_postings(items, profiles, spec, now(), stage=Stager(spark)))
         profiles = B.view(spark, sf, "profiles")
         return _flat(sources.requested_postings(items, B.asked(profiles), profiles, spec, now()))
 
@@ -304,7 +306,7 @@ def source_union_counts(spark, sf):
         items = spec.items(B.payloads(spark, sf, spec.name))
         if spec.shared_feed:
             profiles = B.view(spark, sf, "profiles") if spec.cap else _lot_profiles(spark, sf)
-            rows = sources.feed_postings(items, profiles, spec, now())
+            rows = sources.feed_postings(items, profiles, spec, now(), stage=Stager(spark))
         else:
             rows = sources.requested_postings(items, requests, B.view(spark, sf, "profiles"), spec, now())
         parts = rows if parts is None else parts.unionByName(rows)
@@ -362,7 +364,7 @@ def analysis_scores(spark, sf):
 
 @query
 def best_matches(spark, sf):
-    good = match.quality_matches(_matches(spark, sf))
+    good = Stager(spark)(match.quality_matches(_matches(spark, sf)), "good")  # ranking reads it twice
     return match.ranked(good).select("user_id", "arrival_idx", "score", "reason", "analysed", "rank")
 
 
@@ -382,7 +384,8 @@ def sent_log_rows(spark, sf):
 @query
 def outbox_messages(spark, sf):
     good = match.quality_matches(_matches(spark, sf))
-    return notify.match_messages(notify.unsent(good, _sent_log(spark, sf), now()))
+    fresh = Stager(spark)(notify.unsent(good, _sent_log(spark, sf), now()), "fresh")  # ranking reads it twice
+    return notify.match_messages(fresh)
 
 
 @query

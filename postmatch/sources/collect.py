@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.collect import keyword_search
 from ..operators.state import timestamp
+from ..staging import unstaged
 from .common import SourceSpec, query_columns, to_postings, without_query_defaults
 from .frontier import user_requests
 
@@ -26,8 +29,13 @@ def read_payloads(spark: SparkSession, path: str, source: str, request_id: str |
     )
 
 
-def feed_postings(items: DataFrame, profiles: DataFrame, spec: SourceSpec, now, query_defaults: bool = True) -> DataFrame:
-    """Postings of a shared feed: each user gets the items that contain one of their keywords."""
+def feed_postings(items: DataFrame, profiles: DataFrame, spec: SourceSpec, now, query_defaults: bool = True,
+                  stage: Callable[[DataFrame, str], DataFrame] = unstaged) -> DataFrame:
+    """Postings of a shared feed: each user gets the items that contain one of their keywords.
+
+    The items are read three times; ``stage`` can keep them from being parsed three times.
+    """
+    items = stage(items, spec.name)
     feed = items.withColumn("_search", spec.search())
     pairs = keyword_search(feed, "_search", profiles, spec.trim_keywords, spec.cap)
     queries = query_columns(profiles)
@@ -52,7 +60,8 @@ def requested_postings(items: DataFrame, asked: DataFrame, profiles: DataFrame,
 
 
 def collect_from_sources(payloads: DataFrame, profiles: DataFrame, specs: list[SourceSpec], now,
-                         query_defaults: bool = True) -> DataFrame:
+                         query_defaults: bool = True,
+                         stage: Callable[[DataFrame, str], DataFrame] = unstaged) -> DataFrame:
     """Union of all sources, in source order through ``arrival_idx``.
 
     ``payloads`` has request_id, source (the spec name), payload_no and payload. A payload that cannot be
@@ -63,7 +72,7 @@ def collect_from_sources(payloads: DataFrame, profiles: DataFrame, specs: list[S
     for spec in specs:
         items = spec.items(payloads.where(F.col("source") == spec.name))
         if spec.shared_feed:
-            rows = feed_postings(items, profiles, spec, now, query_defaults)
+            rows = feed_postings(items, profiles, spec, now, query_defaults, stage)
         else:
             asked = requests.where(F.col("source") == spec.name)
             rows = requested_postings(items, asked, profiles, spec, now, query_defaults)
