@@ -19,7 +19,7 @@ def read_payloads(spark: SparkSession, path: str, source: str, request_id: str |
 
     A file named ``<request_id>.<anything>`` serves that request unless ``request_id`` is given.
     """
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     name = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^/.]*)?$", 1)
     return files.select(
         (F.lit(request_id) if request_id is not None else name).alias("request_id"),

@@ -176,29 +176,32 @@ def dedup_update_stream(updates: DataFrame, window_seconds: float = UPDATE_DEDUP
     is dropped as a repeat.
     """
     window = int(window_seconds * 1_000_000)
-    columns = updates.columns
-    keyed = updates.withColumns({
-        # A null key passes: it is made unique.
-        "key": F.coalesce(dedup_key(), F.concat(F.lit("other:"), F.uuid())),
-        "us": F.unix_micros("ts"),
-    }).withWatermark("ts", f"{window} microseconds")
-    return keyed.groupBy("key").applyInPandasWithState(
-        partial(_stream_keys, window=window, columns=columns),
-        outputStructType=updates.schema,
-        stateStructType="last long",
-        outputMode="append",
-        timeoutConf=GroupStateTimeout.EventTimeTimeout,
+    keyed = updates.withColumns({"key": dedup_key(), "us": F.unix_micros("ts")})
+    kept = (
+        keyed.where(F.col("key").isNotNull())
+        .withWatermark("ts", f"{window} microseconds")
+        .groupBy("key")
+        .applyInPandasWithState(
+            partial(_stream_keys, window=window, columns=updates.columns),
+            outputStructType=updates.schema,
+            stateStructType="last long",
+            outputMode="append",
+            timeoutConf=GroupStateTimeout.EventTimeTimeout,
+        )
     )
+    return kept.unionByName(updates.where(dedup_key().isNull()))
 
 
 def dedup_update_stream_builtin(updates: DataFrame, window_seconds: int = UPDATE_DEDUP_SECONDS) -> DataFrame:
     """JVM-only stream variant; a repeat is dropped until the watermark passes, so for longer than the window.
 
-    Late rows behind the watermark are dropped. Rows with a null key pass because the key is made unique.
+    Keyed rows behind the watermark are dropped; rows with a null key go around the state.
     """
-    keyed = updates.withColumn("key", F.coalesce(dedup_key(), F.concat(F.lit("other:"), F.uuid())))
-    return (
-        keyed.withWatermark("ts", f"{window_seconds} seconds")
+    kept = (
+        updates.withColumn("key", dedup_key())
+        .where(F.col("key").isNotNull())
+        .withWatermark("ts", f"{window_seconds} seconds")
         .dropDuplicatesWithinWatermark(["key"])
         .drop("key")
     )
+    return kept.unionByName(updates.where(dedup_key().isNull()))
