@@ -39,8 +39,10 @@ def with_fingerprints(postings: DataFrame, identity: Callable[[], Column] | None
     }).drop("_t", "_c", "_u")
 
 
-def with_url_fingerprint(df: DataFrame, url="url", out: str = "url_fingerprint") -> DataFrame:
-    return with_canonical_url(df, url, "_uf").withColumn(out, F.sha2("_uf", 256)).drop("_uf")
+def with_url_fingerprint(df: DataFrame, url="url", canonical: str = "canonical_url",
+                         out: str = "url_fingerprint") -> DataFrame:
+    """Add the canonical address and its digest."""
+    return with_canonical_url(df, url, canonical).withColumn(out, _digest(canonical))
 
 
 def plain_identity() -> Column:

@@ -62,8 +62,7 @@ def _addresses(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def canonical_urls(spark, sf):
-    addresses = urls.with_canonical_url(_addresses(spark, sf), "url")
-    return with_url_fingerprint(addresses).withColumn("valid", urls.is_web_url("url"))
+    return with_url_fingerprint(_addresses(spark, sf)).withColumn("valid", urls.is_web_url("url"))
 
 
 def _titles(spark: SparkSession, sf: str) -> DataFrame:
