@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import mixing, packing, quality_rules
 
 QUERIES = {
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op9_mixing": mixing.op9_mixing,
+    "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
 ORACLES = {
