@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality_rules, suffix_tree, token_counts
+from . import chat, mixing, packing, quality_rules, suffix_tree, token_counts
 
 QUERIES = {
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op3_token_counts": token_counts.op3_token_counts,
     "op8_lm_scoring": suffix_tree.op8_lm_scoring,
+    "op6_chat_formatting": chat.op6_chat_formatting,
     "op9_mixing": mixing.op9_mixing,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
