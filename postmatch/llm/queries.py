@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, packing, quality_rules, suffix_tree, token_counts
+from . import chat, mixing, packing, quality_rules, simhash, suffix_tree, token_counts
 
 QUERIES = {
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op2_simhash": simhash.op2_simhash,
     "op3_token_counts": token_counts.op3_token_counts,
     "op8_lm_scoring": suffix_tree.op8_lm_scoring,
     "op6_chat_formatting": chat.op6_chat_formatting,
