@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, packing, quality_rules, simhash, suffix_tree, token_counts
+from . import chat, mixing, packing, quality_crf, quality_rules, simhash, suffix_tree, token_counts
 
 QUERIES = {
+    "op4_quality_classifier": quality_crf.op4_quality_classifier,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op2_simhash": simhash.op2_simhash,
     "op3_token_counts": token_counts.op3_token_counts,
