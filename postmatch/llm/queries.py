@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, packing, quality_crf, quality_rules, simhash, suffix_tree, token_counts
+from . import chat, mixing, packing, quality_crf, quality_rules, simhash, suffix_tree, token_counts, toxicity
 
 QUERIES = {
     "op4_quality_classifier": quality_crf.op4_quality_classifier,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_simhash": simhash.op2_simhash,
     "op3_token_counts": token_counts.op3_token_counts,
     "op8_lm_scoring": suffix_tree.op8_lm_scoring,
