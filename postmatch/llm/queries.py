@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, packing, quality_crf, quality_rules, simhash, suffix_tree, token_counts, toxicity
+from . import ann, chat, mixing, packing, quality_crf, quality_rules, simhash, suffix_tree, token_counts, toxicity
 
 QUERIES = {
     "op4_quality_classifier": quality_crf.op4_quality_classifier,
@@ -12,6 +12,7 @@ QUERIES = {
     "op3_token_counts": token_counts.op3_token_counts,
     "op8_lm_scoring": suffix_tree.op8_lm_scoring,
     "op6_chat_formatting": chat.op6_chat_formatting,
+    "op7_nearest_neighbours": ann.op7_nearest_neighbours,
     "op9_mixing": mixing.op9_mixing,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
