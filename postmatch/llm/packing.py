@@ -16,40 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Stager, byte_slices, table, whole
+from .pretokens import ChunkIds
 
 PIECES_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PIECE = "struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long,offset:long>"
 BINS_SCHEMA = f"fill long, done boolean, pieces array<{PIECE}>"
 
 
-class ChunkIds(dict):
-    """Ids, as little-endian unsigned 32-bit bytes, of blank-free chunks; encoded once while they stay in the cache.
-
-    Holds for tokenizers whose pre-tokens and special strings contain no space or line feed, so that the ids of a text are those
-    of its chunks one after the other.
-    """
-
-    def __init__(self, path: str, limit: int = 300_000):
-        super().__init__()
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self[""] = b""
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        made = b"".join(i.to_bytes(4, "little") for i in ids)
-        if len(chunk) <= 100:
-            if len(self) >= self.limit:
-                self.clear()
-                self[""] = b""
-            self[chunk] = made
-        return made
-
-    def text(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
-
-
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, key: str = "doc_id", text: str = "text",
                  with_ids: bool = False) -> DataFrame:
     """One row per piece: ids of each whole text and then ``end_id``, cut every ``capacity`` ids; optionally with the ids.

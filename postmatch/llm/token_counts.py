@@ -11,52 +11,12 @@ from pyspark.sql import functions as F
 
 from .common import Stager, byte_slices, table, whole
 from .dictionary import tail_sums, word_counts
+from .pretokens import PreTokens
 
 #: Share of all pre-tokens from which one is broadcast: at most 2,000,000 entries, about 150,000 in natural text.
 HEAD_SHARE = 5e-7
 
 
-class PreTokens(dict):
-    """Pre-tokens of blank-free chunks, as the tokenizer file's own normalizer and pre-tokenizer give them.
-
-    For tokenizers that drop blanks, so that a text may be cut at spaces and line feeds first. Special strings are found in the raw
-    text before anything else, as the library does; each is a pre-token of its own.
-    """
-
-    def __init__(self, path: str, limit: int = 200_000):
-        super().__init__()
-        import re
-
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        added = self.tokenizer.get_added_tokens_decoder().values()
-        self.special = {t.content for t in added}
-        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=lambda s: (-len(s), s)))) + ")") if added else None
-
-    def __missing__(self, chunk: str) -> tuple[str, ...]:
-        found: list[str] = []
-        for part in self.cut.split(chunk) if self.cut else [chunk]:
-            if part in self.special:
-                found.append(part)
-            elif part:
-                norm = self.tokenizer.normalizer.normalize_str(part) if self.tokenizer.normalizer else part
-                found.extend(p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(norm))
-        made = tuple(found)
-        if len(chunk) <= 100:
-            if len(self) >= self.limit:
-                self.clear()
-            self[chunk] = made
-        return made
-
-    def pieces(self, pre_token: str) -> int:
-        return 1 if pre_token in self.special else len(self.tokenizer.model.tokenize(pre_token))
-
-
-def chunks_of(text: str) -> list[str]:
-    return text.replace("\n", " ").split(" ")
-
-
 def token_counts(spark: SparkSession, docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text",
                  limit: int = 2048, head_share: float = HEAD_SHARE) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row; null text counts as empty, keys may be null or repeat."""
@@ -67,9 +27,8 @@ def token_counts(spark: SparkSession, docs: DataFrame, tokenizer: str, key: str
         pre = PreTokens(tokenizer)
 
         def add(texts: list[str], counts: Counter) -> None:
-            for chunk, n in Counter(chunks_of(" ".join(texts))).items():
-                for p in pre[chunk]:
-                    counts[p] += n
+            for text in texts:
+                counts.update(pre.counted(text))
         return add
 
     def piece_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,24 +44,18 @@ def token_counts(spark: SparkSession, docs: DataFrame, tokenizer: str, key: str
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pre, known = PreTokens(tokenizer), shared.value
-        split: dict[str, tuple[int, list[str]]] = {}
         for batch in byte_slices(batches, "text"):
-            if len(split) > pre.limit:
-                split.clear()
             sums, words, ns, ends = [], [], [], [0]
             for body in batch.column("text").to_pylist():
-                done, tail = 0, Counter()
-                for chunk, n in Counter(chunks_of(body)).items():
-                    at = split.get(chunk)
-                    if at is None:
-                        parts = pre[chunk]
-                        at = split[chunk] = (sum(known.get(p, 0) for p in parts), [p for p in parts if p not in known])
-                    done += n * at[0]
-                    for p in at[1]:
-                        tail[p] += n
+                done = 0
+                for p, n in pre.counted(body).items():
+                    pieces = known.get(p)
+                    if pieces is None:
+                        words.append(p)
+                        ns.append(n)
+                    else:
+                        done += n * pieces
                 sums.append(done)
-                words.extend(tail.keys())
-                ns.extend(tail.values())
                 ends.append(len(words))
             rest = pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(ns, pa.int64())], ["w", "n"])
             yield pa.RecordBatch.from_arrays(
