@@ -32,12 +32,7 @@ def base_stats(df: DataFrame, text: str = "text") -> DataFrame:
         F.slice("_words", 1, F.greatest(n - WINDOW + 1, F.lit(0))), lambda x, i: F.struct(key(x, i).alias("h"), i.alias("i"))
     )
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    stats = words.withColumns({
-        "n_words": n.cast("long"),
-        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
-        "n_symbols": F.length(F.regexp_replace(body, f"[^{SYMBOLS}]+", "")).cast("long"),
-        "_lines": lines, "_sorted": F.sort_array(windows),
-    })
+    steps = words.withColumns({"_lines": lines, "_sorted": F.sort_array(windows)})
     same = lambda x, j: F.coalesce(F.get("_sorted", j)["h"] == x["h"], F.lit(False))
     starts = F.filter(
         F.transform("_sorted", lambda x, j: F.when(same(x, j - 1) | same(x, j + 1), x["i"])), lambda i: i.isNotNull()
@@ -46,11 +41,14 @@ def base_stats(df: DataFrame, text: str = "text") -> DataFrame:
         F.sort_array(starts), F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).cast("long").alias("total")),
         lambda a, s: F.struct(s.alias("last"), (a["total"] + F.least(F.lit(WINDOW), s - a["last"])).alias("total")),
     )["total"]
-    return stats.withColumns({
-        "n_lines": F.size("_lines").cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
-    }).drop("_words", "_lines", "_sorted")
+    stats = {
+        "n_words": n, "word_chars": F.length(F.array_join("_words", "")), "n_symbols": F.length(F.regexp_replace(body, f"[^{SYMBOLS}]+", "")),
+        "n_lines": F.size("_lines"), "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
+        "n_repeat_words": F.coalesce(covered, F.lit(0)),
+    }
+    # Generated columns stop filters from being pushed down, which would work out the sorted windows again for each window.
+    row = F.struct(*[v.cast("long").alias(k) for k, v in stats.items()])
+    return steps.select(*[F.col(f"`{c}`") for c in df.columns if c not in stats], F.inline(F.array(row)))
 
 
 def base_failed() -> Column:
