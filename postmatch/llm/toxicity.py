@@ -108,7 +108,7 @@ class Index:
         self.start = np.searchsorted(term, np.arange(len(self.idf) + 1))
         # cut[t, b]: where the postings of term t that lie in block b begin.
         place = term * (blocks + 1) + self.owner // BLOCK
-        self.cut = np.searchsorted(place, (np.arange(len(self.idf))[:, None] * (blocks + 1) + np.arange(blocks + 1)).ravel()).reshape(len(self.idf), -1)
+        self.cut = np.searchsorted(place, (np.arange(len(self.idf))[:, None] * (blocks + 1) + np.arange(blocks + 1)).ravel()).reshape(len(self.idf), blocks + 1)
         self.top = np.zeros((len(self.idf), blocks))
         np.maximum.at(self.top, (term, self.owner // BLOCK), self.weight)
 
@@ -184,10 +184,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, bound: int
     """``docs`` (doc_id, text, ...) without the text, plus score, predicted, evidence (doc ids) and cosines; one row per input row.
 
     ``labels`` (doc_id, y) has the rows to learn from, of which about ``bound`` are drawn by a hash of the id. Document frequencies count
-    all rows of ``docs``. Nulls are empty texts. Without labels of both kinds every score is the share of label 1.
+    all rows of ``docs``. Columns named like an added one are replaced. Nulls are empty texts. Without labels of both kinds every score is the share of label 1.
     """
     stage = Stager(spark)
-    docs = docs.withColumn("text", whole())
+    docs = docs.drop("y", "terms", "tf", "score", "predicted", "evidence", "cosines").withColumn("text", whole())
     sample = F.broadcast(bounded_sample(labels, "doc_id", bound, labels.count()))
     learnt = docs.where(F.col("doc_id").isNotNull()).join(sample, "doc_id").select("doc_id", "text", "y")
     terms = choose_terms(learnt)
