@@ -191,16 +191,20 @@ _KEYWORDS = f"""list_transform(list_filter(list_concat([job_title], coalesce(ski
 
 
 def hits(profiles: str = "profiles", name: str = "hits") -> str:
-    """CTE of (user_id, arrival_idx): the first 20 parts that contain a keyword of the user."""
+    """CTE of (user_id, arrival_idx): all parts that contain the user's title at the user's brand."""
     return f"""feed AS (SELECT * EXCLUDE (user_id), lower(concat_ws(' ', title, company, coalesce(array_to_string(skills, ' '), ''),
   coalesce(location, ''))) AS searched FROM postings_p),
-kw AS (SELECT DISTINCT user_id, unnest({_KEYWORDS}) AS keyword FROM {profiles}),
-kh AS (SELECT keyword, arrival_idx FROM (SELECT DISTINCT keyword FROM kw) JOIN feed ON contains(searched, keyword)),
-{name} AS (SELECT user_id, arrival_idx FROM (SELECT user_id, arrival_idx, row_number() OVER (PARTITION BY user_id
-  ORDER BY arrival_idx) AS rn FROM (SELECT DISTINCT user_id, arrival_idx FROM kw JOIN kh USING (keyword))) WHERE rn <= 20)"""
+kw AS (SELECT DISTINCT user_id, {trim("lower(job_title || ' ' || location)")} AS keyword FROM {profiles}),
+{name} AS (SELECT user_id, arrival_idx FROM kw JOIN feed ON contains(searched, keyword))"""
 
 
-ORACLES["keyword_search_top20"] = f"{ctes('postings_p', 'profiles')}, {hits()} SELECT user_id, arrival_idx FROM hits"
+ORACLES["keyword_search_top20"] = f"""{ctes('postings_p', 'profiles')},
+feed AS (SELECT *, lower(concat_ws(' ', title, company, coalesce(array_to_string(skills, ' '), ''), coalesce(location, ''))) AS searched
+  FROM postings_p),
+kw AS (SELECT DISTINCT user_id, unnest({_KEYWORDS}) AS keyword FROM profiles),
+kh AS (SELECT keyword, arrival_idx FROM (SELECT DISTINCT keyword FROM kw) JOIN feed ON contains(searched, keyword))
+SELECT user_id, arrival_idx FROM (SELECT user_id, arrival_idx, row_number() OVER (PARTITION BY user_id ORDER BY arrival_idx) AS rn
+  FROM (SELECT DISTINCT user_id, arrival_idx FROM kw JOIN kh USING (keyword))) WHERE rn <= 20"""
 ORACLES["keyword_search_pages"] = f"""WITH w AS (SELECT CAST(n_nationkey AS BIGINT) AS user_id, unnest([lower(
   ['tion', 'The ', 'queau', 'sch der', 'ng', 'ción para'][n_nationkey % 6 + 1]), 'e' || (n_nationkey % 9)]) AS keyword FROM nation),
 b AS (SELECT page_id, lower({clean('html')}) AS body FROM pages)
@@ -241,12 +245,13 @@ def _matches(e: str, pattern: str) -> str:
 def _arbeitnow() -> str:
     remote = "(p_size % 3 = 0)"
     searched = (f"lower(p_name || ' ' || coalesce({_BRAND}, '') || ' ' || p_type || ' ' || coalesce({_RAW_PLACE}, ''))")
-    head = f"""{ctes('profiles')}, items AS (SELECT *, floor(p_partkey / 50.0)::BIGINT * 1000000 + p_partkey % 50 AS ordinal,
+    head = f"""WITH wide AS ({duck_sql('profiles')}),
+profiles AS (SELECT * REPLACE (job_title || ' ' || location AS job_title, CAST(NULL AS VARCHAR[]) AS skills) FROM wide),
+items AS (SELECT *, floor(p_partkey / 50.0)::BIGINT * 1000000 + p_partkey % 50 AS ordinal,
   {searched} AS searched FROM part WHERE p_partkey % 9 <> 0),
 kw AS (SELECT DISTINCT user_id, unnest({_KEYWORDS}) AS keyword FROM profiles),
 kh AS (SELECT keyword, ordinal FROM (SELECT DISTINCT keyword FROM kw) JOIN items ON contains(searched, keyword)),
-hits AS (SELECT user_id, ordinal FROM (SELECT user_id, ordinal, row_number() OVER (PARTITION BY user_id ORDER BY ordinal) AS rn
-  FROM (SELECT DISTINCT user_id, ordinal FROM kw JOIN kh USING (keyword))) WHERE rn <= 20),
+hits AS (SELECT DISTINCT user_id, ordinal FROM kw JOIN kh USING (keyword)),
 j AS (SELECT *, ordinal AS arrival_idx FROM hits JOIN items USING (ordinal) JOIN profiles USING (user_id))"""
     return head + _select(
         "arbeitnow", "j", title="p_name", company=f"coalesce({_BRAND}, 'Arbeitnow Employer')", url=_LINK,
@@ -329,7 +334,7 @@ g AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) AS rn FROM f
 SELECT page_id, CAST(rn - 1 AS INTEGER) AS pos,
   trim(replace(replace(replace(replace(title, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&')) AS title,
   replace(replace(replace(replace(link, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS link
-FROM g WHERE rn <= 15"""
+FROM g"""
 
 _UNION_SOURCES = ["arbeitnow", "remotive", "weworkremotely", "mostaql", "tanqeeb", "bayt", "wuzzuf", "forasna", "adzuna", "jooble", "jsearch"]
 ORACLES["source_union_counts"] = "SELECT source, count(*) AS n, count(DISTINCT user_id) AS users, min(arrival_idx) AS first FROM (" + (

@@ -213,10 +213,17 @@ def _searchable(spark: SparkSession, sf: str) -> DataFrame:
     return B.view(spark, sf, "postings_p").drop("user_id").withColumn("searched", searched)
 
 
+def _narrow(profiles: DataFrame) -> DataFrame:
+    """Profiles that look for their title at one brand, so that an uncapped search stays selective."""
+    return profiles.withColumns({
+        "job_title": F.concat("job_title", F.lit(" "), "location"), "skills": F.lit(None).cast("array<string>"),
+    })
+
+
 def user_postings(spark: SparkSession, sf: str, profiles: DataFrame) -> DataFrame:
-    """The first 20 parts that contain a keyword of the user, as that user's postings."""
+    """All parts that a user's search finds, as that user's postings."""
     feed = _searchable(spark, sf)
-    pairs = collect.keyword_search(feed, "searched", profiles, True, 20, "arrival_idx")
+    pairs = collect.keyword_search(feed, "searched", _narrow(profiles), True, None, "arrival_idx")
     # Identity and normal forms belong to the posting: computed before the fan-out to users.
     known = scoring.prepare_postings(with_fingerprints(feed.drop("searched")))
     return pairs.join(known, "arrival_idx")
@@ -254,6 +261,10 @@ def _lot_profiles(spark: SparkSession, sf: str) -> DataFrame:
     })
 
 
+def _feed_profiles(spark: SparkSession, sf: str, feed: str) -> DataFrame:
+    return _lot_profiles(spark, sf) if feed == "weworkremotely" else _narrow(B.view(spark, sf, "profiles"))
+
+
 def _flat(postings: DataFrame) -> DataFrame:
     return postings.withColumn("skills", F.array_join("skills", "|")).drop("published_at", "scraped_at", "url")
 
@@ -264,7 +275,7 @@ def _mapped(name: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         items = spec.items(B.payloads(spark, sf, name))
         if spec.shared_feed:
-            profiles = B.view(spark, sf, "profiles") if spec.cap else _lot_profiles(spark, sf)
+            profiles = _feed_profiles(spark, sf, name)
             return _flat(sources.feed_postings(items, profiles, spec, now(), stage=Stager(spark)))
         profiles = B.view(spark, sf, "profiles")
         return _flat(sources.requested_postings(items, B.asked(profiles), profiles, spec, now()))
@@ -304,7 +315,7 @@ def source_union_counts(spark, sf):
     for spec in specs:
         items = spec.items(B.payloads(spark, sf, spec.name))
         if spec.shared_feed:
-            profiles = B.view(spark, sf, "profiles") if spec.cap else _lot_profiles(spark, sf)
+            profiles = _feed_profiles(spark, sf, spec.name)
             rows = sources.feed_postings(items, profiles, spec, now(), stage=Stager(spark))
         else:
             rows = sources.requested_postings(items, requests, B.view(spark, sf, "profiles"), spec, now())

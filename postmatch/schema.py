@@ -78,6 +78,9 @@ SENT_LOG = T.StructType([
     T.StructField("company", T.StringType()),
 ])
 
+#: The stored form: folders by day, which a reader of the last weeks prunes.
+SENT_LOG_BY_DATE = T.StructType([*SENT_LOG.fields, T.StructField("sent_date", T.DateType())])
+
 SLOT_LEDGER = T.StructType([
     T.StructField("slot_key", T.StringType()),
     T.StructField("mode", T.StringType()),

@@ -15,16 +15,19 @@ from .frontier import user_requests
 
 
 def read_payloads(spark: SparkSession, path: str, source: str, request_id: str | None = None) -> DataFrame:
-    """Landed response files as payload rows, one per file.
+    """Landed response files as payload rows, one per file, numbered in the order of their addresses.
 
     A file named ``<request_id>.<anything>`` serves that request unless ``request_id`` is given.
     """
     files = spark.read.text(path, wholetext=True)
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^/.]*)?$", 1)
+    # The list of files is what the reader itself holds on the driver; it numbers them, so that no two items share an identity.
+    numbers = spark.createDataFrame([(f, i) for i, f in enumerate(sorted(files.inputFiles()))], "_file string, payload_no long")
+    files = files.withColumn("_file", F.input_file_name()).join(numbers, "_file")
+    name = F.regexp_extract("_file", r"([^/]+?)(?:\.[^/.]*)?$", 1)
     return files.select(
         (F.lit(request_id) if request_id is not None else name).alias("request_id"),
         F.lit(source).alias("source"),
-        F.lit(0).cast("long").alias("payload_no"),
+        "payload_no",
         F.col("value").alias("payload"),
     )
 

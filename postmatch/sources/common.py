@@ -39,7 +39,9 @@ class SourceSpec:
 
 def ordinal() -> Column:
     """Position of an item over all payloads of its source; needs ``payload_no`` and ``pos``."""
-    return F.col("payload_no") * F.lit(ITEMS_PER_PAYLOAD) + F.col("pos")
+    fits = (F.col("pos") < ITEMS_PER_PAYLOAD) & (F.col("payload_no") < RANK_STRIDE // ITEMS_PER_PAYLOAD)
+    packed = F.col("payload_no") * F.lit(ITEMS_PER_PAYLOAD) + F.col("pos")
+    return F.when(fits, packed).otherwise(F.raise_error(F.lit("too many items in a payload, or payloads of a source")))
 
 
 def query_columns(profiles: DataFrame) -> DataFrame:

@@ -14,13 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.html import first_match, load, matches, parse_selector, text_of
-from ..functions.text import WHITESPACE, truncate
+from ..functions.text import WHITESPACE
 from ..functions.urls import absolute_link
 from .common import either, ordinal, work_type
 from .json_feeds import REMOTE_SHORT
 
-CARDS_PER_PAGE = 15
-
 # --- fixed values: where each site keeps the fields of a result card ---
 RULES = {
     "mostaql": {
@@ -93,7 +91,7 @@ def _listings(batches: Iterator[pd.DataFrame], rules: dict[str, str], cap: int)
         yield pd.DataFrame(rows, columns=names)
 
 
-def extract_listings(payloads: DataFrame, rules: dict[str, str], cap: int = CARDS_PER_PAGE) -> DataFrame:
+def extract_listings(payloads: DataFrame, rules: dict[str, str], cap: int | None = None) -> DataFrame:
     """Rows (request_id, payload_no, pos, title, link, company_name, place, body) of the cards in each page."""
     pages = payloads.select("request_id", "payload_no", "payload")
     return pages.mapInPandas(partial(_listings, rules=rules, cap=cap), LISTING)
@@ -117,7 +115,7 @@ def mostaql_fields(now: Column) -> dict[str, Column]:
         "country": F.lit("الشرق الأوسط / عن بعد"),
         "remote": F.lit(True),
         "work_type": F.lit("remote"),
-        "description": either(truncate("body", 400), c("title")),
+        "description": either(c("body"), c("title")),
         "skills": c("q_skills"),
         "published": now,
     }

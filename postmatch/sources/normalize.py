@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.dates import date_or
 from ..functions.text import clean_html, clean_trim, first_truthy, truthy
@@ -11,6 +12,17 @@ from ..operators.state import timestamp
 from .json_feeds import REMOTE_AR
 
 
+def _number(raw: DataFrame, name: str) -> Column:
+    """A number stays, anything else (a text that looks like one too) is null."""
+    kind = raw.schema[name].dataType
+    if isinstance(kind, T.NumericType):
+        return F.col(name).cast("double")
+    if isinstance(kind, T.VariantType):
+        is_number = F.schema_of_variant(name).rlike(r"^(?:BIGINT|DECIMAL.*|DOUBLE|FLOAT)$")
+        return F.when(is_number, F.try_variant_get(name, "$", "double"))
+    return F.lit(None).cast("double")
+
+
 def normalize_postings(raw: DataFrame, now) -> DataFrame:
     """Trim texts, clean the description, infer remote work, parse dates, fill defaults.
 
@@ -34,8 +46,8 @@ def normalize_postings(raw: DataFrame, now) -> DataFrame:
         "skills": F.coalesce("skills", F.array().cast("array<string>")),
         "publication_date": published,
         "published_at": published,
-        "salary_min": F.col("salary_min").cast("double"),
-        "salary_max": F.col("salary_max").cast("double"),
+        "salary_min": _number(raw, "salary_min"),
+        "salary_max": _number(raw, "salary_max"),
         "currency": clean_trim("currency"),
         "scraped_at": at,
     })

@@ -9,11 +9,9 @@ from . import json_feeds as J
 from . import rss as R
 from .common import SourceSpec
 
-FEED_CAP = 20
-
 _ORDER = [
     ("arbeitnow", "arbeitnow", J.arbeitnow_items, J.arbeitnow_fields,
-     {"search": J.arbeitnow_search, "trim_keywords": True, "cap": FEED_CAP}),
+     {"search": J.arbeitnow_search, "trim_keywords": True}),
     ("remotive", "remotive", J.remotive_items, J.remotive_fields, {}),
     ("weworkremotely", "we_work_remotely", R.weworkremotely_items, R.weworkremotely_fields,
      {"search": R.weworkremotely_search}),

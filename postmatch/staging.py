@@ -5,26 +5,15 @@ A staged table survives the loss of executors: its readers start from files inst
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-@cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="postmatch-stage-")
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where a local session sets none."""
+    """``spark.checkpoint.dir`` of the session; where it is unset, a folder in the session's warehouse, which executors share too."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    return _local_folder()
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stage"
 
 
 class Stager:

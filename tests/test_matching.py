@@ -88,6 +88,15 @@ def test_match_responses(spark):
     assert [(r["score"], r["error"]) for r in rows] == [(s, e and responses.MATCH_ERRORS[e]) for _, s, e in MATCH]
 
 
+def test_answers_with_anything_behind_them_are_rejected(spark):
+    whole = '{"score": 50, "reason": "x"}'
+    texts = [whole, f"```json\n{whole}\n```", f"{whole} trailing words", whole + '{"a": 1}', f"{whole},{whole}", f"```json\n{whole}\n``` and more", whole + ', "b": 1']
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, response string")
+    rows = responses.parse_match_responses(df).orderBy("i").collect()
+    assert [r["score"] for r in rows] == [50.0, 50.0] + [None] * 5
+    assert {r["error"] for r in rows[2:]} == {responses.MATCH_ERRORS["json"]}
+
+
 def test_analysis_responses(spark):
     body = '{"role":%s,"skills":%s,"experienceLevel":"mid","workType":"%s","summary":"s"}'
     texts = [body % ('"b"', '["x","y"]', " OnSite "), body % ('"b"', "[]", "odd"), body % ("1", "[]", "any"), body % ('"b"', '["x",1]', "any"),

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,9 +16,9 @@ from postmatch.sources.registry import SOURCES, active_sources
 PAYLOAD = "request_id string, source string, payload_no long, payload string"
 
 
-def mapped(spark, name, body, **prefs):
+def mapped(spark, name, body, cap=None, **prefs):
     """Postings of one payload for one user."""
-    spec = SOURCES[name]
+    spec = replace(SOURCES[name], cap=cap)
     payloads = spark.createDataFrame([("r", name, 0, body if isinstance(body, str) else json.dumps(body))], PAYLOAD)
     profile = preferences(spark, {"job_title": "Node.js", "skills": ["TypeScript"], **prefs})
     items = spec.items(payloads)
@@ -47,7 +48,28 @@ def test_arbeitnow(spark):
 
 def test_feed_cap(spark):
     data = [{"title": f"node.js {i}", "url": f"https://x.com/{i}"} for i in range(30)]
-    assert [r["arrival_idx"] for r in mapped(spark, "arbeitnow", {"data": data})] == list(range(20))
+    for cap, n in ((None, 30), (20, 20)):
+        assert [r["arrival_idx"] for r in mapped(spark, "arbeitnow", {"data": data}, cap)] == list(range(n))
+
+
+def test_items_of_several_files_are_told_apart(spark, tmp_path):
+    for name, title in (("a", "Data Engineer"), ("b", "Chef")):
+        (tmp_path / f"{name}.json").write_text(json.dumps({"data": [{"title": title, "url": f"https://x.com/{name}"}]}))
+    spec = SOURCES["arbeitnow"]
+    items = spec.items(collect.read_payloads(spark, str(tmp_path), "arbeitnow", "feed"))
+    everyone = preferences(spark, {"user_id": 1, "job_title": "data engineer", "skills": []}, {"user_id": 2, "job_title": "e", "skills": []})
+    rows = collect.feed_postings(items, everyone, spec, F.lit(NOW)).orderBy("user_id", "arrival_idx").collect()
+    assert [(r["user_id"], r["title"]) for r in rows] == [(1, "Data Engineer"), (2, "Data Engineer"), (2, "Chef")]
+    assert rows[1]["arrival_idx"] != rows[2]["arrival_idx"]
+
+
+def test_salaries_that_are_texts_are_dropped(spark):
+    from postmatch.sources.normalize import _number
+
+    texts = spark.createDataFrame([("12k", 5.0), ("5", 6.0)], "low string, high double")
+    made = texts.withColumn("v", F.parse_json(F.concat(F.lit('"'), "low", F.lit('"'))))
+    got = made.select(_number(made, "low").alias("a"), _number(made, "high").alias("b"), _number(made, "v").alias("c")).collect()
+    assert [tuple(r) for r in got] == [(None, 5.0, None), (None, 6.0, None)]
 
 
 def test_remotive(spark):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from helpers import NOW, postings, preferences
 from postmatch.operators.state import active_subscribers
 from postmatch.plans import pipeline
-from postmatch.schema import ANALYSIS, SENT_LOG, SUBSCRIPTION_LOG, UPDATE
+from postmatch.schema import ANALYSIS, SENT_LOG, SENT_LOG_BY_DATE, SUBSCRIPTION_LOG, UPDATE
 from postmatch.streaming import continuous, subscriptions, updates, wizard
 
 T0 = datetime(2026, 1, 1, tzinfo=timezone.utc)
@@ -138,3 +138,22 @@ def test_continuous_match_sends_each_posting_once(spark, tmp_path):
     box = store.read("outbox", "user_id long, kind string, fingerprint string, run_id string")
     assert box.where("kind = 'match'").count() == 2
     assert store.read("run_stats", "subscribers long").count() == 2
+
+
+def test_a_batch_concerns_its_own_users(spark, tmp_path):
+    good = {"skills": ["Node.js"], "work_type": "remote", "experience_level": "junior"}
+    for user in (1, 2):
+        postings(spark, {**good, "user_id": user}).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(postings(spark).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    data = pipeline.RunInputs(
+        subscription_log=spark.createDataFrame([(1, "add", T0), (2, "add", T0)], SUBSCRIPTION_LOG),
+        preferences=preferences(spark, {"user_id": 1}, {"user_id": 2}), collector=None,
+        analyses=spark.createDataFrame([], ANALYSIS), sent_log=spark.createDataFrame([], SENT_LOG))
+    store = pipeline.RunStore(spark, str(tmp_path / "store"))
+    query = continuous.start_continuous_match(stream, data, store, str(tmp_path / "cp"), lambda: NOW, available_now=True)
+    assert query.awaitTermination(180)
+    box = store.read("outbox", "user_id long, kind string, run_id string").collect()
+    assert sorted((r["user_id"], r["kind"]) for r in box) == [(1, "match"), (2, "match")]
+    log = store.read("sent_log", SENT_LOG_BY_DATE)
+    plan = log.where("sent_date >= DATE'2026-09-01'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(sent_date" in plan and log.count() == 2
