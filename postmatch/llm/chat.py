@@ -132,3 +132,30 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string")
     return read_back(chat_windows(turns.unionByName(probe)))
+
+
+OP6_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
+  len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 4 AS cost FROM t),
+q AS (SELECT *, pos = 1 AND role = 'system' AS leads FROM p),
+r AS (SELECT *, max(CASE WHEN leads THEN cost ELSE 0 END) OVER (PARTITION BY conv_id) AS lead_cost, CAST(sum(CASE WHEN leads THEN 0 ELSE cost END)
+  OVER (PARTITION BY conv_id ORDER BY pos) AS BIGINT) - CASE WHEN leads THEN 0 ELSE cost END AS offs FROM q),
+h AS (SELECT *, greatest(1024 - 192 - lead_cost, 2) // 2 AS half FROM r),
+s AS (SELECT *, offs // half AS bucket, cost > half AS big FROM h),
+u AS (SELECT *, coalesce(NOT lag(leads) OVER o AND (bucket <> lag(bucket) OVER o OR big OR lag(big) OVER o), false) AS begins FROM s
+  WINDOW o AS (PARTITION BY conv_id ORDER BY pos)),
+v AS (SELECT *, CAST(sum(CAST(begins AS INT)) OVER (PARTITION BY conv_id ORDER BY pos) AS BIGINT) AS span,
+  length(replace(replace(replace(replace(role, '\', '\0'), '###', '\1'), '</turn>', '\2'), ': ', '\3'))
+  + length(replace(replace(replace(text, '\', '\0'), '###', '\1'), '</turn>', '\2')) + 4 + 2 + 8 AS chars FROM u),
+n AS (SELECT conv_id, max(span) + 1 AS n_windows FROM v GROUP BY conv_id),
+repeats AS (SELECT j.conv_id, sum(j.chars) AS chars FROM v j JOIN v i ON i.conv_id = j.conv_id AND i.begins AND NOT j.leads
+  AND i.offs - j.offs BETWEEN 1 AND 192 GROUP BY j.conv_id),
+d AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+  coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '') AS loss,
+  sum(CASE WHEN leads THEN chars * n_windows ELSE chars END) AS chars, any_value(n_windows) AS n_windows FROM v JOIN n USING (conv_id) GROUP BY conv_id)
+SELECT d.conv_id, n_turns, turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
+  CAST(d.chars + coalesce(repeats.chars, 0) AS BIGINT) AS formatted_chars, CAST(n_windows AS BIGINT) AS n_windows
+FROM d LEFT JOIN repeats USING (conv_id)
+"""

@@ -19,4 +19,5 @@ QUERIES = {
 
 ORACLES = {
     "op5_quality_rules": quality_rules.OP5_SQL,
+    "op6_chat_formatting": chat.OP6_SQL,
 }
