@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stager, bounded_sample, byte_slices, folded, table, training_labels, whole
+from .common import bounded_sample, byte_slices, folded, table, training_labels, whole
 
 SAMPLE_DOCS = 4_000
 #: Features of one line before those of its neighbours are added.
@@ -95,6 +95,21 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return features[keep], n[keep].astype("float64"), doc[keep]
 
 
+def features_in_slices(texts: list[str], limit: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`line_features` of many texts, worked out for about ``limit`` characters at a time to bound the memory."""
+    parts, start, held = [], 0, 0
+    for i, text in enumerate(texts):
+        held += len(text)
+        if held >= limit or i + 1 == len(texts):
+            x, size, doc = line_features(texts[start:i + 1])
+            parts.append((x, size, doc + start))
+            start, held = i + 1, 0
+    if not parts:
+        return np.zeros((0, N_BASE)), np.zeros(0), np.zeros(0, "int64")
+    x, size, doc = (np.concatenate(p) for p in zip(*parts, strict=True))
+    return x, size, doc
+
+
 def with_neighbours(x: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Adds the features of the previous and the next line of the same document; zeros at its ends."""
     before, after = np.zeros_like(x), np.zeros_like(x)
@@ -141,7 +156,7 @@ class Field:
 
     def quality(self, texts: list[str]) -> np.ndarray:
         """Length-weighted share of good lines per text; 0 for a text without a word."""
-        x, size, doc = line_features(texts)
+        x, size, doc = features_in_slices(texts)
         marginal, _ = forward_backward(with_neighbours(x, doc) @ self.weights, doc, self.trans)
         total = np.bincount(doc, weights=size, minlength=len(texts))
         good = np.bincount(doc, weights=size * marginal[:, 1], minlength=len(texts)) if len(doc) else np.zeros(len(texts))
@@ -154,7 +169,7 @@ class Field:
 
 def train(texts: list[str], labels: np.ndarray, rounds: int = 150, rate: float = 0.1, ridge: float = 1e-3) -> Field:
     """Maximum conditional likelihood by Adam over the sample; then a logistic calibration of document qualities."""
-    x, size, doc = line_features(texts)
+    x, size, doc = features_in_slices(texts)
     x = with_neighbours(x, doc)
     field = Field(np.zeros((x.shape[1], 2)), np.zeros((2, 2)))
     if not len(x):
@@ -205,8 +220,9 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, bound: int = SA
 
 
 def score(spark: SparkSession, docs: DataFrame, field: Field, threshold: float = 0.3) -> DataFrame:
-    """All columns of ``docs`` plus score and predicted; one row per input row, whole texts, nulls as empty."""
+    """All columns of ``docs`` plus score and predicted (in place of such columns); one row per input row, whole texts, nulls as empty."""
     shared = spark.sparkContext.broadcast(field)
+    docs = docs.drop("score", "predicted")
     names = docs.columns
     body = whole().alias("_text")
 
