@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,9 +15,6 @@ from ..staging import Stager
 #: Words of the contracts: runs of anything but these six ASCII blanks, the blanks of ``bytes.split()``.
 BLANKS = r"[\x20\x09-\x0D]+"
 
-__all__ = ["BLANKS", "Stager", "table", "whole", "folded", "training_labels", "byte_slices", "words_of"]
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -67,5 +65,10 @@ def byte_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 <
             yield batch.slice(start)
 
 
-def map_arrow(df: DataFrame, f: Callable, schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+def share(spark: SparkSession, model) -> Broadcast:
+    """A model of bounded size for all tasks, with the code of its class, which executors need not have; see :func:`shared`."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(model))
+
+
+def shared(broadcast: Broadcast):
+    return cloudpickle.loads(broadcast.value)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, byte_slices, folded, table, training_labels, whole
+from .common import bounded_sample, byte_slices, folded, share, shared, table, training_labels, whole
 
 SAMPLE_DOCS = 4_000
 #: Features of one line before those of its neighbours are added.
@@ -221,14 +221,15 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, bound: int = SA
 
 def score(spark: SparkSession, docs: DataFrame, field: Field, threshold: float = 0.3) -> DataFrame:
     """All columns of ``docs`` plus score and predicted (in place of such columns); one row per input row, whole texts, nulls as empty."""
-    shared = spark.sparkContext.broadcast(field)
+    model = share(spark, field)
     docs = docs.drop("score", "predicted")
     names = docs.columns
     body = whole().alias("_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared(model)
         for batch in byte_slices(batches, "_text", 4 << 20):
-            scores = shared.value.scores(batch.column("_text").to_pylist())
+            scores = known.scores(batch.column("_text").to_pylist())
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(scores)], [*names, "score"])
 
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", score double"

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stager, bounded_sample, byte_slices, folded, table, training_labels, whole
+from .common import Stager, bounded_sample, byte_slices, folded, share, shared, table, training_labels, whole
 
 #: Bounds of what is learnt: labelled rows in the sample (on average), terms of the space.
 SAMPLE_DOCS, TERMS = 8_000, 2_048
@@ -199,11 +199,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, bound: int
     idf = np.log((n + 1) / (df + 1)) + 1
     examples = rows.join(sample, "doc_id").select("doc_id", "y", "terms", "tf").collect()
     index = build_index(sorted((r["doc_id"], r["y"], list(r["terms"]), list(r["tf"])) for r in examples), idf)
-    shared = spark.sparkContext.broadcast(index)
+    model = share(spark, index)
     names = [c for c in rows.columns if c not in ("terms", "tf")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple, tuple] = {}
+        examples = shared(model)
         for batch in batches:
             made = []
             for t, c in zip(batch.column("terms").to_pylist(), batch.column("tf").to_pylist(), strict=True):
@@ -211,7 +212,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, bound: int
                 if key not in known:
                     if len(known) > 50_000:
                         known.clear()
-                    known[key] = shared.value.score(t, c)
+                    known[key] = examples.score(t, c)
                 made.append(known[key])
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in names], pa.array([m[0] for m in made], pa.float64()), pa.array([m[1] for m in made], pa.list_(pa.int64())),
