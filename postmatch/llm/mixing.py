@@ -151,7 +151,8 @@ def sized(docs: DataFrame, key) -> DataFrame:
 def mixed_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it. ``docs`` is a stored table, read in the same order each time."""
     row = F.monotonically_increasing_id()
-    copies = mix(spark, sized(docs, row)).where("copies > 0").select(F.col("key").alias("_row"), "copies")
+    # The texts are shuffled at every size: a broadcast of the copies would have no bound.
+    copies = mix(spark, sized(docs, row)).where("copies > 0").select(F.col("key").alias("_row"), "copies").hint("merge")
     return docs.withColumn("_row", row).join(copies, "_row").withColumn(
         "_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))
     ).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -24,6 +24,8 @@ SHINGLE, SEED = 4, 42
 #: Index rows of one key from which its pairs are searched in blocks, which give a spanning forest instead of all links.
 HOT_KEY, BLOCK = 256, 4096
 BUCKETS = 256
+#: A probe is a row that is written, shuffled and sorted; a candidate pair is one comparison in a join that is there anyway.
+PROBE_COST = 15.0
 
 
 def shingle_hashes(text: str) -> list[int]:
@@ -162,7 +164,7 @@ def estimated_pairs(prints: DataFrame, layouts: dict[int, list[list[int]]]) -> d
     return out
 
 
-def allocate(widths: list[int], pairs: list[tuple[float, float]], n: int, threshold: int, probe_cost: float = 3.0) -> tuple[float, list[int]]:
+def allocate(widths: list[int], pairs: list[tuple[float, float]], n: int, threshold: int, probe_cost: float = PROBE_COST) -> tuple[float, list[int]]:
     """Cheapest thresholds (-1: not probed) that add up to threshold - m + 1, by dynamic programming over the partitions."""
 
     def cost(i: int, t: int) -> float:
@@ -276,7 +278,8 @@ def first_of_each(spark: SparkSession, docs: DataFrame, threshold: int = 4) -> D
     """The first row, in the order of the stored table ``docs``, of every group of near-duplicates."""
     row = F.monotonically_increasing_id()
     groups = near_duplicates(spark, docs.select(row.alias("key"), whole().alias("text")), threshold)
-    kept = groups.where("key = component_id").select(F.col("key").alias("_row"))
+    # The texts are shuffled at every size: a broadcast of the kept rows would have no bound.
+    kept = groups.where("key = component_id").select(F.col("key").alias("_row")).hint("merge")
     return docs.withColumn("_row", row).join(kept, "_row", "left_semi").drop("_row")
 
 
