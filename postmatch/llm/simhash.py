@@ -240,7 +240,8 @@ def links(spark: SparkSession, prints: DataFrame, threshold: int) -> DataFrame:
     if not any_hot:
         return found
     # A hot key: its rows in blocks, every two blocks (index with index, index with probes) together; each gives a forest.
-    met = rows.join(hot.select("part", "k"), ["part", "k"])
+    # Stored, as it is read twice: else every probe would be made once more.
+    met = stage(rows.join(hot.select("part", "k"), ["part", "k"]), "hot_rows")
     sizes = met.groupBy("part", "k").agg(
         F.ceil(F.count_if("own") / BLOCK).alias("ni"), F.greatest(F.ceil(F.count_if(~F.col("own")) / BLOCK), F.lit(1)).alias("np"))
     placed = met.join(sizes, ["part", "k"]).withColumn(
