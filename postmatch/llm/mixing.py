@@ -22,6 +22,8 @@ from .common import Stager, table, whole, words_of
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Documents of a source that land together with the one or two that its last flight leaves: 2^12 choices at most.
 LANDING = 10
+#: A document this many times as long as the median is decided before the flights.
+LONG = 10
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[float, ...], share: float, stop: float) -> dict[str | None, float]:
@@ -82,20 +84,55 @@ def land(sizes: list[float], probs: list[float]) -> list[float]:
     return out
 
 
+def settle(sizes: list[float], probs: list[float], random: Random) -> list[float]:
+    """Decides the long documents, longest first; the others of the source absorb the words, each by the same change of its probability.
+
+    What the others cannot absorb between 0 and 1 is left to the flight.
+    """
+    size, prob = np.array(sizes), np.array(probs)
+    open_ = (prob > 0) & (prob < 1)
+    if not open_.any():
+        return list(probs)
+    long = np.flatnonzero(open_ & (size > LONG * max(np.median(size[open_]), 1)))
+    for i in long[np.argsort(-size[long], kind="stable")]:
+        open_[i] = False
+        others, up, down = prob[open_], 1 - prob[i], prob[i]
+        words = size[open_].sum()
+        if words and others.min() > up * size[i] / words and 1 - others.max() > down * size[i] / words:
+            step = up if random.random() * (up + down) < down else -down
+            prob[open_] -= step * size[i] / words
+            prob[i] = float(step > 0)
+        else:
+            open_[i] = True
+    return prob.tolist()
+
+
+def fly(sizes: list[float], probs: list[float], random: Random, reserve: int) -> list[float]:
+    """Long documents are settled and the others fly, all but ``reserve`` that stay undecided."""
+    probs = settle(sizes, probs, random)
+    held = [i for i, p in enumerate(probs) if 0 < p < 1][:reserve]
+    kept = dict.fromkeys(held)
+    rest = [i for i in range(len(probs)) if i not in kept]
+    for i, p in zip(rest, flight([sizes[i] for i in rest], [probs[i] for i in rest], random), strict=True):
+        probs[i] = p
+    return probs
+
+
 def finish(sizes: list[float], probs: list[float], random: Random) -> list[float]:
-    """The last flight of a source: its last ``LANDING`` documents stay undecided and land with those the flight leaves."""
-    flown = flight(sizes[LANDING:], probs[LANDING:], random)
-    return land(sizes, probs[:LANDING] + flown)
+    """The last flight of a source: ``LANDING`` documents stay undecided and land with those the flight leaves."""
+    return land(sizes, fly(sizes, probs, random, LANDING))
 
 
-def _fly(level: int, last: bool):
+def _fly(level: int):
     def run(group, rows):
         sizes = rows["size"].to_numpy().astype("float64")
         order = np.lexsort((sizes, rows["_order"].to_numpy()))
         seed = f"{group[0].as_py()}/{group[1].as_py()}/{level}"
         probs = np.empty(len(order))
-        fly = finish if last else flight
-        probs[order] = fly(sizes[order].tolist(), rows["_prob"].to_numpy()[order].tolist(), Random(seed))
+        blocks = rows["_blocks"][0].as_py()
+        args = sizes[order].tolist(), rows["_prob"].to_numpy()[order].tolist(), Random(seed)
+        # The blocks of a source together hold back what it lands with.
+        probs[order] = finish(*args) if blocks == 1 else fly(*args, -(-LANDING // blocks))
         return rows.set_column(rows.column_names.index("_prob"), "_prob", pa.array(probs))
 
     return run
@@ -131,15 +168,16 @@ def mix(spark: SparkSession, rows: DataFrame, weights: tuple[float, ...] = WEIGH
         last = blocks == 1
 
         # The key of a hot source is split by block; both sides of a block are bounded.
-        moved = state.groupBy("source", "_block").applyInArrow(_fly(level, last), ", ".join(columns))
+        moved = state.groupBy("source", "_block").applyInArrow(_fly(level), ", ".join(columns))
         moved = stage(moved, f"flown_{level}")
         part = moved.where("_prob IN (0, 1)")
         done = part if done is None else done.unionByName(part)
         if last:
             break
-        # At most two rows of each block are left: about block_rows / 2 blocks meet in one.
-        blocks = -(-blocks // (block_rows // 2))
-        state, level = moved.where("_prob NOT IN (0, 1)").withColumn("_block", F.expr(f"_block % {blocks}")), level + 1
+        # A source lands as soon as it has one block. Of many blocks, three rows each are left: block_rows / 4 of them meet in one.
+        blocks, level = -(-blocks // (block_rows // 4)), level + 1
+        state = moved.where("_prob NOT IN (0, 1)").withColumn("_blocks", F.ceil(F.col("_blocks") / (block_rows // 4)))
+        state = state.withColumn("_block", F.pmod("_block", "_blocks"))
     return done.withColumn("copies", (F.col("_base") + F.col("_prob").cast("int"))).drop("_base", "_prob", "_blocks", "_block", "_order")
 
 
