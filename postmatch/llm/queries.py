@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import ann, chat, mixing, packing, quality_crf, quality_rules, simhash, suffix_tree, token_counts, toxicity
+from . import (
+    ann, chat, hard_negatives, language_id, mixing, packing, quality_crf, quality_rules, simhash, suffix_tree, token_counts, toxicity, whitening,
+)
 
 QUERIES = {
     "op4_quality_classifier": quality_crf.op4_quality_classifier,
@@ -15,9 +17,13 @@ QUERIES = {
     "op7_nearest_neighbours": ann.op7_nearest_neighbours,
     "op9_mixing": mixing.op9_mixing,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_language_id": language_id.op13_language_id,
 }
 
 ORACLES = {
     "op5_quality_rules": quality_rules.OP5_SQL,
     "op6_chat_formatting": chat.OP6_SQL,
+    "op12_hard_negatives": hard_negatives.OP12_SQL,
 }
