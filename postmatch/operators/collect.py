@@ -8,14 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.text import clean_trim, first_truthy
 from ..functions.urls import is_web_url
 from ..schema import RECENT_DAYS
+from .keywords import keyword_hits
 from .ranking import top_n
 from .state import timestamp
 
-# Lengths of the text pieces used to look keywords up. A keyword uses the longest that fits.
-PIECE_SIZES = (1, 2, 4)
-# At most this many distinct keywords, of 50 characters on average, are broadcast.
-BROADCAST_KEYWORDS = 100_000
-
 
 def is_valid_posting() -> Column:
     """Title, company and source not blank, an http(s) address, both dates set."""
@@ -50,74 +46,6 @@ def profile_keywords(profiles: DataFrame, trim: bool) -> DataFrame:
     return profiles.select("user_id", F.explode(keywords).alias("keyword"))
 
 
-def _units(text: Column) -> Column:
-    """Text as two-byte units, in which a piece is cut out without walking the text."""
-    return F.encode(text, "UTF-16BE")
-
-
-def _size(keyword: Column) -> Column:
-    """Length of the pieces a keyword is looked up by: the longest of the sizes that fits."""
-    n = F.octet_length(_units(keyword)) / 2
-    size = F.lit(0)
-    for g in PIECE_SIZES:
-        size = F.when(n >= g, g).otherwise(size)
-    return size
-
-
-def _pieces(df: DataFrame, units: str, size: Column, *keep: str) -> DataFrame:
-    """Rows (``keep``, piece): every piece of ``size`` units, one row per position."""
-    last = (F.octet_length(units) / 2).cast("int") - size
-    positions = df.where(last >= 0).select(*keep, units, size.alias("_size"), F.explode(F.sequence(F.lit(0), last)).alias("_at"))
-    return positions.select(*keep, F.substring(units, F.col("_at") * 2 + 1, F.col("_size") * 2).alias("piece"))
-
-
-def keyword_anchors(keywords: DataFrame) -> DataFrame:
-    """Rows (keyword, piece): for each distinct keyword its piece shared with the fewest other keywords."""
-    distinct = keywords.select("keyword").distinct().withColumn("_units", _units(F.col("keyword")))
-    pieces = _pieces(distinct, "_units", _size(F.col("keyword")), "keyword").distinct()
-    shared = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
-    return (
-        pieces.join(shared, "piece")
-        .groupBy("keyword")
-        .agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"))
-    )
-
-
-def keyword_hits(texts: DataFrame, text: str, item: str, keywords: DataFrame,
-                 broadcast_limit: int = BROADCAST_KEYWORDS) -> DataFrame:
-    """Rows (``item``, keyword) for every distinct keyword contained in ``text``; ``item`` is unique.
-
-    Containment is turned into an equality: each keyword is filed under one of its own pieces, each text
-    is cut at every position into pieces of the sizes in use, and only pairs that share a piece are compared.
-    The work grows with text length plus true candidates, not with texts times keywords. The cut rows carry
-    the item number only; texts are joined back for the final check.
-
-    One small job counts the keywords. Up to ``broadcast_limit`` they are broadcast; beyond it both sides
-    are shuffled by piece, where a piece that most texts share is split by the skew join. The cut side
-    is never broadcast: it is far larger than the files it comes from suggest.
-    """
-    facts = keywords.select("keyword").distinct().agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.length("keyword")).alias("chars"),
-        F.collect_set(_size(F.col("keyword"))).alias("sizes"),
-    ).first()
-    anchors = keyword_anchors(keywords)
-    sizes = F.array(*[F.lit(g) for g in sorted(facts["sizes"])]) if facts["n"] else F.array().cast("array<int>")
-    sized = texts.select(item, _units(F.col(text)).alias("_units"), F.explode(sizes).alias("_want"))
-    cut = _pieces(sized, "_units", F.col("_want"), item)
-    if facts["n"] <= broadcast_limit and (facts["chars"] or 0) <= 50 * broadcast_limit:
-        pairs = cut.join(F.broadcast(anchors), "piece")
-    else:
-        pairs = cut.hint("merge").join(anchors, "piece")
-    return (
-        pairs.select(item, "keyword")
-        .distinct()
-        .join(texts.select(item, text), item)
-        .where(F.contains(F.col(text), F.col("keyword")))
-        .select(item, "keyword")
-    )
-
-
 def keyword_search(feed: DataFrame, text: str, profiles: DataFrame, trim: bool, cap: int | None = None,
                    order: str = "ordinal") -> DataFrame:
     """Rows (user_id, ``order``) of the feed items that contain any keyword of the user.

@@ -27,6 +27,9 @@ _TYPE = "{A}('STANDARD', 'SMALL', 'LARGE', 'ECONOMY', 'MEDIUM', 'PROMO')"
 _LEVEL = "{A}('intern', 'junior', 'mid', 'senior', 'lead', NULL)"
 _WORK = "{A}('remote', 'hybrid', 'on-site', NULL)"
 _NOW = f"TIMESTAMP '{NOW}'"
+_PEOPLE = f"""SELECT c_custkey AS user_id, {{AT}}({_ADJ}, CAST(1 + c_custkey % 8 AS INT)) || ' ' ||
+            {{AT}}({_NOUN}, CAST(1 + floor(c_custkey / 8.0) % 8 AS INT)) AS job_title,
+            'Brand#' || CAST(1 + c_custkey % 25 AS {{STR}}) AS location FROM customer"""
 
 VIEWS = {
     # postings out of parts: few names and brands, hence many semantic duplicates
@@ -75,6 +78,20 @@ VIEWS = {
           CASE c_custkey % 4 WHEN 0 THEN {{A}}('09:00', '21:00') WHEN 1 THEN {{A}}('07:30')
             WHEN 2 THEN {{A}}('08:00', '12:30', '18:45') ELSE {{A}}('bad', '23:59') END AS notification_times
         FROM customer""",
+    # what users search for: their title at their brand, in one of the spellings of titles, and their title with a type as a skill; few enough
+    # hits that a search without a cap stays small, while every part can be found
+    "searches": f"""
+        SELECT user_id, job_title || {{AT}}({{A}}('', ' (Remote)', ' [Urgent]', ''), CAST(1 + floor(user_id / 64.0) % 4 AS INT))
+            || ' ' || location AS job_title,
+          CASE WHEN user_id % 10 <> 0 THEN {{A}}(job_title || ' ' ||
+            {{AT}}({_TYPE}, CAST(1 + floor(user_id / 64.0) % 6 AS INT))) END AS skills
+        FROM ({_PEOPLE}) s""",
+    # the same for feed items, where the brand may be missing between title and type
+    "feed_searches": f"""
+        SELECT user_id, job_title || ' ' || location AS job_title,
+          CASE WHEN user_id % 10 <> 0 THEN {{A}}(job_title || '  ' ||
+            {{AT}}({_TYPE}, CAST(1 + floor(user_id / 64.0) % 6 AS INT))) END AS skills
+        FROM ({_PEOPLE}) s""",
     "subscription_log": """
         SELECT user_id, CASE event_type WHEN 'signup' THEN 'add' ELSE 'remove' END AS action, {TS} AS ts, event_id AS seq
         FROM events WHERE event_type IN ('signup', 'error')""",

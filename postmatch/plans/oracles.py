@@ -191,11 +191,11 @@ _KEYWORDS = f"""list_transform(list_filter(list_concat([job_title], coalesce(ski
 
 
 def hits(profiles: str = "profiles", name: str = "hits") -> str:
-    """CTE of (user_id, arrival_idx): all parts that contain the user's title at the user's brand."""
+    """CTE of (user_id, arrival_idx): all parts that contain a keyword of what a user of ``profiles`` searches for."""
     return f"""feed AS (SELECT * EXCLUDE (user_id), lower(concat_ws(' ', title, company, coalesce(array_to_string(skills, ' '), ''),
   coalesce(location, ''))) AS searched FROM postings_p),
-kw AS (SELECT DISTINCT user_id, {trim("lower(job_title || ' ' || location)")} AS keyword FROM {profiles}),
-{name} AS (SELECT user_id, arrival_idx FROM kw JOIN feed ON contains(searched, keyword))"""
+kw AS (SELECT DISTINCT user_id, unnest({_KEYWORDS}) AS keyword FROM ({duck_sql('searches')}) WHERE user_id IN (SELECT user_id FROM {profiles})),
+{name} AS (SELECT DISTINCT user_id, arrival_idx FROM kw JOIN feed ON contains(searched, keyword))"""
 
 
 ORACLES["keyword_search_top20"] = f"""{ctes('postings_p', 'profiles')},
@@ -246,7 +246,7 @@ def _arbeitnow() -> str:
     remote = "(p_size % 3 = 0)"
     searched = (f"lower(p_name || ' ' || coalesce({_BRAND}, '') || ' ' || p_type || ' ' || coalesce({_RAW_PLACE}, ''))")
     head = f"""WITH wide AS ({duck_sql('profiles')}),
-profiles AS (SELECT * REPLACE (job_title || ' ' || location AS job_title, CAST(NULL AS VARCHAR[]) AS skills) FROM wide),
+profiles AS (SELECT w.* REPLACE (s.job_title AS job_title, s.skills AS skills) FROM wide w JOIN ({duck_sql('feed_searches')}) s USING (user_id)),
 items AS (SELECT *, floor(p_partkey / 50.0)::BIGINT * 1000000 + p_partkey % 50 AS ordinal,
   {searched} AS searched FROM part WHERE p_partkey % 9 <> 0),
 kw AS (SELECT DISTINCT user_id, unnest({_KEYWORDS}) AS keyword FROM profiles),

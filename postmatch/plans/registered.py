@@ -213,17 +213,11 @@ def _searchable(spark: SparkSession, sf: str) -> DataFrame:
     return B.view(spark, sf, "postings_p").drop("user_id").withColumn("searched", searched)
 
 
-def _narrow(profiles: DataFrame) -> DataFrame:
-    """Profiles that look for their title at one brand, so that an uncapped search stays selective."""
-    return profiles.withColumns({
-        "job_title": F.concat("job_title", F.lit(" "), "location"), "skills": F.lit(None).cast("array<string>"),
-    })
-
-
 def user_postings(spark: SparkSession, sf: str, profiles: DataFrame) -> DataFrame:
-    """All parts that a user's search finds, as that user's postings."""
+    """All parts that a search of a user of ``profiles`` finds, by title or skill, as that user's postings."""
     feed = _searchable(spark, sf)
-    pairs = collect.keyword_search(feed, "searched", _narrow(profiles), True, None, "arrival_idx")
+    searches = B.view(spark, sf, "searches").join(profiles.select("user_id"), "user_id", "left_semi")
+    pairs = collect.keyword_search(feed, "searched", searches, True, None, "arrival_idx")
     # Identity and normal forms belong to the posting: computed before the fan-out to users.
     known = scoring.prepare_postings(with_fingerprints(feed.drop("searched")))
     return pairs.join(known, "arrival_idx")
@@ -262,7 +256,9 @@ def _lot_profiles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _feed_profiles(spark: SparkSession, sf: str, feed: str) -> DataFrame:
-    return _lot_profiles(spark, sf) if feed == "weworkremotely" else _narrow(B.view(spark, sf, "profiles"))
+    if feed == "weworkremotely":
+        return _lot_profiles(spark, sf)
+    return B.view(spark, sf, "profiles").drop("job_title", "skills").join(B.view(spark, sf, "feed_searches"), "user_id")
 
 
 def _flat(postings: DataFrame) -> DataFrame:

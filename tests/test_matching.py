@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from helpers import NOW, postings, preferences
 from postmatch.functions import responses
 from postmatch.functions.fingerprint import with_fingerprints
-from postmatch.operators import analyze, collect, match, notify
+from postmatch.operators import analyze, collect, keywords, match, notify
+from postmatch.plans import registered
 from postmatch.schema import ANALYSIS, SENT_LOG
 
 
@@ -136,7 +137,7 @@ WORDS = st.text(alphabet="ab c💻é", max_size=9)
 
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.text(alphabet="ab c💻é", max_size=14), min_size=1, max_size=6),
-       st.lists(st.tuples(WORDS, st.lists(WORDS, max_size=2)), min_size=1, max_size=4), st.sampled_from([None, 2]), st.sampled_from([0, 100]))
+       st.lists(st.tuples(WORDS, st.lists(WORDS, max_size=2)), min_size=1, max_size=4), st.sampled_from([None, 2]), st.sampled_from([3, 1000]))
 def test_keyword_search_is_containment(spark, texts, users, cap, limit):
     feed = spark.createDataFrame(list(enumerate(texts)), "ordinal long, body string")
     people = spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate(users)], "user_id long, job_title string, skills array<string>")
@@ -145,12 +146,30 @@ def test_keyword_search_is_containment(spark, texts, users, cap, limit):
         keys = [w.strip(" ").lower() for w in [t, *s] if w]
         hits = [n for n, body in enumerate(texts) if not keys or any(k in body for k in keys)]
         wanted[i] = hits[:cap] if cap else hits
-    old, collect.BROADCAST_KEYWORDS = collect.BROADCAST_KEYWORDS, limit
-    try:
-        got = collect.keyword_search(feed, "body", people, True, cap).collect()
-        far = collect.keyword_hits(feed, "body", "ordinal", collect.profile_keywords(people, True), broadcast_limit=limit).collect()
-    finally:
-        collect.BROADCAST_KEYWORDS = old
+    got = collect.keyword_search(feed, "body", people, True, cap).collect()
+    far = keywords.keyword_hits(feed, "body", "ordinal", collect.profile_keywords(people, True), automaton_chars=limit).collect()
     assert sorted((r["user_id"], r["ordinal"]) for r in got) == sorted((u, n) for u, ns in wanted.items() for n in ns)
     keys = {k for t, s in users for k in ([w.strip(" ").lower() for w in [t, *s] if w] or [""])}
     assert sorted((r["ordinal"], r["keyword"]) for r in far) == sorted((n, k) for n, b in enumerate(texts) for k in keys if k in b)
+
+
+def test_keyword_hits_take_odd_rows(spark):
+    feed = spark.createDataFrame([(1, None), (2, ""), (3, "abab"), (3, "abab"), (4, "x" * 200_000 + "needle")], "ordinal long, body string")
+    words = spark.createDataFrame([("ab",), ("ab",), (None,), ("",), ("b",), ("needle",), ("absent",)], "keyword string")
+    want = [(2, ""), (3, ""), (3, ""), (3, "ab"), (3, "ab"), (3, "b"), (3, "b"), (4, ""), (4, "needle")]
+    for chars in (1, 5, 1000):
+        assert sorted(map(tuple, keywords.keyword_hits(feed, "body", "ordinal", words, chars).collect())) == want
+    none = spark.createDataFrame([], "keyword string")
+    assert keywords.keyword_hits(feed, "body", "ordinal", none).count() == 0
+    assert keywords.keyword_hits(feed.where("false"), "body", "ordinal", words).count() == 0
+
+
+def test_searches_reach_parts_of_every_spelling(spark):
+    """The registered search finds titles of all four spellings, and postings with and without skills."""
+    sf = "/root/testdata/sf0.01"
+    found = registered.user_postings(spark, sf, registered.B.view(spark, sf, "profiles"))
+    pairs = found.select("user_id", "arrival_idx", F.size("skills").alias("n")).distinct().collect()
+    parts = {r["arrival_idx"] for r in pairs}
+    by_spelling = [sum(p % 4 == k for p in parts) for k in range(4)]
+    assert len(pairs) > 5_000 and min(by_spelling) > 0.6 * 500
+    assert any(r["n"] == 0 for r in pairs) and any(r["n"] > 0 for r in pairs)

@@ -26,6 +26,12 @@ def test_no_cross_joins_and_no_python(spark, name):
     assert "ArrowEvalPython" not in text and "BatchEvalPython" not in text and "MapInPandas" not in text
 
 
+def test_keyword_search_shuffles_hits_only(spark):
+    """Texts pass the automaton where they are read; what is exchanged are users' keywords and (item, keyword) rows."""
+    text = plan(spark, "keyword_search_pages")
+    assert text.count("MapInArrow") >= 1 and "body" not in "".join(line for line in text.splitlines() if "hashpartitioning" in line)
+
+
 def test_survivors_aggregate_before_the_shuffle(spark):
     text = plan(spark, "dedup_survivors")
     assert "partial_max_by" in text and "Window" not in text
