@@ -160,6 +160,16 @@ VIEWS = {
         FROM (SELECT event_id, user_id, event_type, {TS} AS ts, {SERIES} AS step FROM events WHERE event_type = 'signup') s""",
 }
 
+# the scripted updates and commands of chats that two users share; some updates are delivered again 4 or 12 seconds later
+VIEWS["bot_updates"] = f"""
+        SELECT chat_id, user_id, message_id, kind, text, data, ts + INTERVAL '1' SECOND * (2 * step) AS ts
+        FROM (SELECT *, {{SERIES}} AS step FROM (
+          SELECT CAST(floor(user_id / 2.0) AS BIGINT) AS chat_id, user_id, message_id, kind, text, data, ts FROM ({VIEWS["scripted_updates"]}) a
+          UNION ALL SELECT CAST(floor(user_id / 2.0) AS BIGINT), user_id, event_id * 10 + 9, 'msg',
+            CASE event_type WHEN 'click' THEN '/subscription' WHEN 'error' THEN '/unsubscribe now' ELSE '/subscribe@bot' END,
+            CAST(NULL AS {{STR}}), {{TS}} FROM events WHERE event_type <> 'signup') b) c
+        WHERE step = 0 OR step = 2 AND message_id % 3 = 0 OR step = 6 AND message_id % 7 = 0"""
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations"]
 

@@ -637,3 +637,50 @@ ORACLES["subscription_commands"] = _COMMANDS
 ORACLES["streamed_subscriptions"] = _COMMANDS
 ORACLES["subscription_status"] = f"""{ctes('subscription_log')}, s AS {subscribers("ts <= TIMESTAMP '2024-01-20'")}
 SELECT user_id, ts, user_id IN (SELECT user_id FROM s) AS subscribed FROM events WHERE event_type = 'click'"""
+
+
+def bot_replay() -> str:
+    """CTEs of the bot's chain, update by update: said has kind, chat_id, user_id, ts and the values of each event."""
+    skills = f"list_filter(list_transform(string_split(text, ','), lambda s: {trim('s')}), lambda s: s <> '')"
+    place = squeeze("text")
+    return f"""WITH RECURSIVE bot_updates AS ({duck_sql('bot_updates')}),
+keyed AS (SELECT *, concat_ws(':', kind, chat_id, message_id, data) AS key FROM bot_updates),
+kept AS (SELECT key, min(ts) AS ts FROM keyed GROUP BY key
+  UNION ALL SELECT k.key, min(u.ts) FROM kept k JOIN keyed u ON u.key = k.key AND u.ts >= k.ts + INTERVAL 10 SECOND GROUP BY k.key),
+s AS (SELECT u.*, row_number() OVER (PARTITION BY chat_id ORDER BY u.ts, message_id) AS n,
+  coalesce(kind = 'msg' AND (text IN ('🚀 Start Job Search', 'Start Job Search', 'Start', '/start') OR regexp_matches(text, '^/start(@\\w+)?(\\s|$)')), false)
+    OR coalesce(kind = 'cb' AND data IN ('start_search', 'preferences:restart'), false) AS start,
+  coalesce(kind = 'cb' AND data = 'preferences:update', false) AS again, coalesce(kind = 'cb' AND data = 'preferences:confirm', false) AS confirm,
+  CASE WHEN kind = 'msg' AND length({squeeze('text')}) BETWEEN 2 AND 100 THEN {squeeze('text')} END AS new_title, kind = 'msg' AND text IS NOT NULL AS spoken,
+  CASE WHEN lower({place}) NOT IN ('', 'any') THEN {place} END AS new_place,
+  CASE WHEN kind = 'msg' AND len({skills}) > 0 THEN array_to_string({skills}, ',') END AS new_skills,
+  CASE WHEN kind = 'cb' AND data IN ('work-type:remote', 'work-type:hybrid', 'work-type:on-site', 'work-type:any') THEN substr(data, 11) END AS new_work,
+  CASE WHEN kind = 'cb' AND data IN ('experience:intern', 'experience:junior', 'experience:mid', 'experience:senior', 'experience:lead', 'experience:any')
+    THEN substr(data, 12) END AS new_level
+  FROM keyed u JOIN kept USING (key, ts)),
+walk AS (SELECT DISTINCT chat_id, 0::BIGINT AS n, 'job-title' AS step, NULL::VARCHAR AS title, NULL::VARCHAR AS work, NULL::VARCHAR AS level,
+    NULL::VARCHAR AS place, NULL::VARCHAR AS skills, false AS told FROM s
+  UNION ALL SELECT w.chat_id, u.n,
+    CASE WHEN start OR again THEN 'job-title' WHEN step = 'job-title' AND new_title IS NOT NULL THEN 'work-type'
+      WHEN step = 'work-type' AND new_work IS NOT NULL THEN 'experience-level' WHEN step = 'experience-level' AND new_level IS NOT NULL THEN 'location'
+      WHEN step = 'location' AND spoken THEN 'skills' WHEN step = 'skills' AND new_skills IS NOT NULL THEN 'confirmation' ELSE step END,
+    CASE WHEN start THEN NULL WHEN step = 'job-title' THEN coalesce(new_title, title) ELSE title END,
+    CASE WHEN start THEN NULL WHEN step = 'work-type' THEN coalesce(new_work, work) ELSE work END,
+    CASE WHEN start THEN NULL WHEN step = 'experience-level' THEN coalesce(new_level, level) ELSE level END,
+    CASE WHEN start THEN NULL WHEN step = 'location' AND spoken THEN new_place ELSE place END,
+    CASE WHEN start THEN NULL WHEN step = 'skills' THEN coalesce(new_skills, skills) ELSE skills END,
+    confirm AND step = 'confirmation' AND title IS NOT NULL AND work IS NOT NULL AND level IS NOT NULL
+  FROM walk w JOIN s u ON u.chat_id = w.chat_id AND u.n = w.n + 1),
+preferred AS (SELECT s.chat_id, s.user_id, s.ts, s.n, w.title, w.work, w.level, w.place, w.skills FROM walk w JOIN s USING (chat_id, n) WHERE told),
+acts AS (SELECT chat_id, user_id, ts, n, 'add' AS action FROM preferred
+  UNION ALL SELECT chat_id, user_id, ts, n, CASE WHEN text LIKE '/subscribe%' THEN 'add' ELSE 'remove' END FROM s
+  WHERE kind = 'msg' AND regexp_matches(text, '^/(subscribe|unsubscribe)(@\\w+)?(\\s|$)')),
+asked AS (SELECT chat_id, user_id, ts, n FROM s WHERE kind = 'msg' AND regexp_matches(text, '^/subscription(@\\w+)?(\\s|$)'))"""
+
+
+ORACLES["streamed_bot_updates"] = f"""{bot_replay()}
+SELECT 'preferences' AS kind, chat_id, user_id, ts, title AS job_title, work AS work_type, level AS experience_level, place AS location, skills,
+  NULL::VARCHAR AS action, NULL::BOOLEAN AS subscribed FROM preferred
+UNION ALL SELECT 'subscription', chat_id, user_id, ts, NULL, NULL, NULL, NULL, NULL, action, NULL FROM acts
+UNION ALL SELECT 'status', chat_id, user_id, ts, NULL, NULL, NULL, NULL, NULL, NULL, coalesce((SELECT arg_max(action, n) = 'add' FROM acts a
+  WHERE a.chat_id = q.chat_id AND a.user_id = q.user_id AND a.n < q.n), false) FROM asked q"""

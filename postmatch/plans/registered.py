@@ -19,7 +19,7 @@ from ..sources.html_pages import extract_listings
 from ..sources.normalize import normalize_postings
 from ..sources.registry import SOURCES, active_sources
 from ..staging import Stager
-from ..streaming import continuous, subscriptions, updates, wizard
+from ..streaming import bot, continuous, subscriptions, updates, wizard
 from . import bindings as B
 from . import pipeline
 
@@ -702,6 +702,22 @@ def streamed_wizard(spark, sf):
     return _drained(wizard.confirmed_preference_stream(stream), "confirmed")
 
 
+@query
+def streamed_bot_updates(spark, sf):
+    """The bot's chain on repeated deliveries, answers and commands that land in two waves; the second run goes on from the state of the first."""
+    folder, made = Stager(spark).folder, B.view(spark, sf, "bot_updates")
+    half = F.col("ts") < F.lit("2024-01-16").cast("timestamp")
+    for wave in (half, ~half):
+        made.where(wave).write.mode("append").parquet(f"{folder}/updates")
+        stream = spark.readStream.schema(made.schema).parquet(f"{folder}/updates")
+        bot.start_bot(stream, f"{folder}/bot", available_now=True).awaitTermination()
+    out = None
+    for kind in bot.LOGS:
+        log = spark.read.parquet(f"{folder}/bot/{kind}").drop("batch", "message_id").withColumn("kind", F.lit(kind))
+        out = log if out is None else out.unionByName(log, allowMissingColumns=True)
+    return out
+
+
 @query
 def streamed_matches(spark, sf):
     """Continuous matching of the users' postings, landed as files; returns its outbox."""

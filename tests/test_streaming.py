@@ -11,7 +11,7 @@ from helpers import NOW, postings, preferences
 from postmatch.operators.state import active_subscribers
 from postmatch.plans import pipeline
 from postmatch.schema import ANALYSIS, SENT_LOG, SENT_LOG_BY_DATE, SUBSCRIPTION_LOG, UPDATE
-from postmatch.streaming import continuous, subscriptions, updates, wizard
+from postmatch.streaming import bot, continuous, subscriptions, updates, wizard
 
 T0 = datetime(2026, 1, 1, tzinfo=timezone.utc)
 
@@ -157,3 +157,47 @@ def test_a_batch_concerns_its_own_users(spark, tmp_path):
     log = store.read("sent_log", SENT_LOG_BY_DATE)
     plan = log.where("sent_date >= DATE'2026-09-01'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(sent_date" in plan and log.count() == 2
+
+
+# --- the bot's chain ---
+
+def run_bot(spark, tmp_path, waves, subscriptions=None, **options):
+    for rows in waves:
+        table(spark, rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(UPDATE).parquet(str(tmp_path / "in"))
+        query = bot.start_bot(stream, str(tmp_path / "bot"), subscriptions, available_now=True, **options)
+        assert query.awaitTermination(180)
+    return {k: [r.asDict() for r in spark.read.parquet(str(tmp_path / "bot" / k)).orderBy("ts", "chat_id").collect()] for k in bot.LOGS}
+
+
+def at(rows, seconds):
+    return [{**r, "ts": r["ts"] + timedelta(seconds=seconds)} for r in rows]
+
+
+def test_bot_chain_drops_repeats_keeps_sessions_and_answers(spark, tmp_path):
+    chat = [{**r, "chat_id": 5} for r in script(SCRIPT)]
+    ask = {"chat_id": 5, "message_id": 90, "text": "/subscription", "ts": T0 + timedelta(seconds=20)}
+    other = {"chat_id": 6, "message_id": 1, "text": "/unsubscribe", "ts": T0 + timedelta(seconds=3)}
+    first = chat[:6] + at(chat[:6], 2)[::-1] + [other, {**other, "ts": T0 + timedelta(seconds=12)}]  # a repeat within ten seconds of the kept one
+    second = chat[6:] + [ask, {**ask, "user_id": 2, "message_id": 91}, {**ask, "user_id": None, "message_id": 92}, {**ask, "chat_id": None}]
+    later = [{**other, "ts": T0 + timedelta(seconds=200)}, {**ask, "chat_id": 6, "user_id": 7, "message_id": 5, "ts": T0 + timedelta(seconds=201)}]
+    before = spark.createDataFrame([(5, 2, True), (6, 7, True), (6, None, True)], "chat_id long, user_id long, active boolean")
+    said = run_bot(spark, tmp_path, [first, second, later], before)
+    (saved,) = said["preferences"]
+    assert (saved["chat_id"], saved["job_title"], saved["location"], saved["skills"]) == (5, "Backend Dev", None, "sql,spark")
+    assert [(r["chat_id"], r["action"]) for r in said["subscription"]] == [(6, "remove"), (5, "add"), (6, "remove")]
+    assert sorted((r["chat_id"], r["user_id"], r["subscribed"]) for r in said["status"]) == [(5, 1, True), (5, 2, True), (6, 7, True)]
+
+
+def test_bot_chain_equals_its_parts_on_private_chats(spark, tmp_path):
+    """Where a chat has one user, the chain is update dedup, then the wizard and the commands."""
+    rows = [r for u in range(4) for r in [{**r, "chat_id": u} for r in script(SCRIPT, user=u)]]
+    rows += at(rows[::2], 3) + at(rows[::5], 11) + [{"chat_id": 2, "user_id": 2, "message_id": 77, "text": "/subscribe", "ts": T0 + timedelta(seconds=40)}]
+    said = run_bot(spark, tmp_path, [rows])
+    kept_rows = updates.dedup_updates(table(spark, rows))
+    confirmed = wizard.confirmed_preferences(kept_rows).collect()
+    assert sorted((r["user_id"], r["ts"], r["job_title"], r["skills"]) for r in said["preferences"]) == sorted(
+        (r["user_id"], r["ts"], r["job_title"], r["skills"]) for r in confirmed) != []
+    want = [(r["user_id"], r["action"]) for r in subscriptions.subscription_actions(kept_rows).collect()] + [(r["user_id"], "add") for r in confirmed]
+    assert sorted((r["user_id"], r["action"]) for r in said["subscription"]) == sorted(want)
+
