@@ -1,13 +1,15 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, found with a block-max inverted index.
 
-The index holds a bounded sample of labelled documents over the terms whose presence depends on the label. Examples lie in blocks; every
-term keeps its postings and, per block, its largest weight. A query adds up these maxima to a bound per block, visits blocks from the
-highest bound down and stops when no block can reach its k-th best. Votes weighted by distance are calibrated on votes that the
-examples themselves get without their own row, and the neighbours are the evidence.
+The index holds every term of a bounded sample of labelled documents; document frequencies cover all rows, and a text is compared over all of
+its terms. A term counts by its TF-IDF weight, raised where its presence depends on the label. Examples lie in blocks; every term keeps its
+postings and, per block, its largest weight. A query adds up these maxima to a bound per block, scores the blocks of highest bound, and then
+those that can still reach its k-th best. Votes weighted by distance are calibrated on votes that the examples themselves get without their
+own row, and the neighbours are the evidence.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -17,13 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stager, bounded_sample, byte_slices, folded, share, shared, table, training_labels, whole
+from .common import bounded_sample, byte_slices, folded, share, shared, table, training_labels, whole
+from .vectors import summed
 
-#: Bounds of what is learnt: labelled rows in the sample (on average), terms of the space.
-SAMPLE_DOCS, TERMS = 8_000, 2_048
-#: A term enters the space from this chi-square of presence against label, far beyond what one in a million reaches by chance.
-LEAST_CHI2, LEAST_DOCS = 30.0, 5
+#: Bound of what is learnt: labelled documents in the sample (on average).
+SAMPLE_DOCS = 3_000
+#: A term counts fully where chi-square of presence against label is far above ``HALF_CHI2`` (and a thirtieth of the examples), never below
+#: ``LEAST_RELEVANCE``.
+HALF_CHI2, LEAST_RELEVANCE = 30.0, 0.05
 NEIGHBOURS, BLOCK = 25, 64
+#: Blocks that are scored before bounds decide.
+FIRST_BLOCKS = 6
 _SPACES = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
@@ -32,105 +38,80 @@ def terms_of(text: str) -> list[bytes]:
     return text.lower().encode().translate(_SPACES).split()
 
 
-def choose_terms(examples: DataFrame, terms: int = TERMS) -> list[str]:
-    """The terms of ``examples`` (text, y) that depend most on the label, most dependent first; ties by spelling."""
-
-    def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in byte_slices(batches, "text"):
-            hits: tuple[Counter, Counter] = (Counter(), Counter())
-            for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                hits[y].update(set(terms_of(text)))
-            words = list(hits[0].keys() | hits[1].keys())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.binary()).cast(pa.string()), *(pa.array([h[w] for w in words], pa.int64()) for h in hits)], ["word", "n0", "n1"])
-
-    total = {r["y"]: r["n"] for r in examples.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n0, n1 = float(total.get(0, 0)), float(total.get(1, 0))
-    if not n0 or not n1:
-        return []
-    counts = examples.select("text", "y").mapInArrow(presence, "word string, n0 long, n1 long").groupBy("word").agg(
-        F.sum("n0").alias("a"), F.sum("n1").alias("b"))
-    a, b, n = F.col("a").cast("double"), F.col("b").cast("double"), n0 + n1
-    cross = a * (F.lit(n1) - b) - b * (F.lit(n0) - a)
-    chi2 = F.lit(n) * cross * cross / ((a + b) * (F.lit(n) - a - b) * F.lit(n0 * n1))
-    enough = counts.where((F.col("a") + F.col("b") >= LEAST_DOCS) & (F.col("a") + F.col("b") < n)).withColumn("chi2", chi2)
-    return [r["word"] for r in enough.where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "word").limit(terms).collect()]
-
-
-def term_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """``docs`` (..., text) with term ids and counts of the whole texts instead of the text."""
-    names = [c for c in docs.columns if c != "text"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = {w.encode(): i for i, w in enumerate(terms)}
-        known = ids.__contains__
-        for batch in byte_slices(batches, "text"):
-            found, counts, ends = [], [], [0]
-            for text in batch.column("text").to_pylist():
-                for word, n in sorted((ids[w], n) for w, n in Counter(filter(known, terms_of(text))).items()):
-                    found.append(word)
-                    counts.append(n)
-                ends.append(len(found))
-            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(v, pa.int32())) for v in (found, counts)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *lists], [*names, "terms", "tf"])
-
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes if n != "text") + ", terms array<int>, tf array<int>"
-    return docs.select(*names, "text").mapInArrow(run, schema)
+def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All positions of the ranges [start, end) one after the other, and which range each belongs to."""
+    length = end - start
+    which = np.repeat(np.arange(len(start)), length)
+    return np.arange(int(length.sum())) + np.repeat(start - (np.cumsum(length) - length), length), which
 
 
 @dataclass
 class Index:
-    """Examples in blocks of ``BLOCK``: postings per term (sorted by example) and per-block maxima."""
+    """Examples in blocks of ``BLOCK``: postings by term and block, and the largest weight of each term in each block that has it."""
 
-    idf: np.ndarray
+    term_weight: np.ndarray
     doc_ids: np.ndarray
     labels: np.ndarray
-    start: np.ndarray = field(init=False)
-    owner: np.ndarray = field(init=False)
-    weight: np.ndarray = field(init=False)
-    cut: np.ndarray = field(init=False)
-    top: np.ndarray = field(init=False)
-    prior: float = 0.0
+    unseen_weight: float = 1.0
+    base: float = 0.5
     slope: float = 1.0
     shift: float = 0.0
-
-    def vector(self, terms, tf) -> np.ndarray:
-        w = (1 + np.log(np.asarray(tf, float))) * self.idf[terms]
-        return w / np.sqrt((w * w).sum())
+    owner: np.ndarray = field(init=False)
+    weight: np.ndarray = field(init=False)
+    cell_of: np.ndarray = field(init=False)
+    cell_block: np.ndarray = field(init=False)
+    cell_top: np.ndarray = field(init=False)
+    cell_start: np.ndarray = field(init=False)
+
+    def vector(self, terms, tf, unseen: list[int] | None = None) -> np.ndarray:
+        """Unit weights of known ``terms``; the counts of ``unseen`` terms add to the length only."""
+        w = (1 + np.log(np.asarray(tf, float))) * self.term_weight[np.asarray(terms, "int64")]
+        rest = (1 + np.log(np.asarray(unseen or [1], float))) * self.unseen_weight if unseen else np.zeros(0)
+        length = np.sqrt((w * w).sum() + (rest * rest).sum())
+        return w / length if length > 0 else w
 
     def fill(self, rows: list[tuple[list[int], list[int]]]) -> None:
-        n, blocks = len(rows), -(-len(rows) // BLOCK)
-        term = np.concatenate([np.asarray(t, "int64") for t, _ in rows]) if n else np.zeros(0, "int64")
-        owner = np.repeat(np.arange(n), [len(t) for t, _ in rows]) if n else np.zeros(0, "int64")
-        weight = np.concatenate([self.vector(t, c) for t, c in rows]) if n else np.zeros(0)
+        size = [len(t) for t, _ in rows]
+        term = np.concatenate([np.asarray(t, "int64") for t, _ in rows]) if sum(size) else np.zeros(0, "int64")
+        owner = np.repeat(np.arange(len(rows)), size)
+        weight = np.concatenate([self.vector(t, c) for t, c in rows if len(t)]) if sum(size) else np.zeros(0)
         order = np.lexsort((owner, term))
         self.owner, self.weight, term = owner[order], weight[order], term[order]
-        self.start = np.searchsorted(term, np.arange(len(self.idf) + 1))
-        # cut[t, b]: where the postings of term t that lie in block b begin.
-        place = term * (blocks + 1) + self.owner // BLOCK
-        self.cut = np.searchsorted(place, (np.arange(len(self.idf))[:, None] * (blocks + 1) + np.arange(blocks + 1)).ravel()).reshape(len(self.idf), blocks + 1)
-        self.top = np.zeros((len(self.idf), blocks))
-        np.maximum.at(self.top, (term, self.owner // BLOCK), self.weight)
+        block = self.owner // BLOCK
+        new = np.ones(len(term), bool)
+        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        start = np.flatnonzero(new)
+        # A cell is a term in a block: its postings, its block and its largest weight; cell_of says where the cells of a term begin.
+        self.cell_start = np.append(start, len(term))
+        self.cell_block = block[start]
+        self.cell_top = np.maximum.reduceat(self.weight, start) if len(start) else np.zeros(0)
+        self.cell_of = np.searchsorted(term[start], np.arange(len(self.term_weight) + 1))
 
     def nearest(self, terms, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Exactly the k examples of largest cosine above 0 (ties: earlier example) and their cosines."""
-        bound = query @ self.top[terms]
+        terms = np.asarray(terms, "int64")
+        cells, which = _ranges(self.cell_of[terms], self.cell_of[terms + 1])
+        blocks = -(-len(self.doc_ids) // BLOCK)
+        bound = np.bincount(self.cell_block[cells], weights=query[which] * self.cell_top[cells], minlength=blocks)
         order = np.argsort(-bound, kind="stable")
-        ids, scores, least, at = np.zeros(0, "int64"), np.zeros(0), 0.0, 0
-        while at < len(order) and bound[order[at]] > 0 and (len(ids) < k or bound[order[at]] >= least - 1e-12):
-            group = order[at:at + (2 if at else 4)]
-            at += len(group)
-            for b in group:
-                sums = np.zeros(BLOCK)
-                for t, q in zip(terms, query, strict=True):
-                    a, z = self.cut[t, b], self.cut[t, b + 1]
-                    if a < z:
-                        sums[self.owner[a:z] - b * BLOCK] += q * self.weight[a:z]
-                hit = np.flatnonzero(sums > 0)
-                ids, scores = np.concatenate([ids, hit + b * BLOCK]), np.concatenate([scores, sums[hit]])
+        order = order[bound[order] > 0]
+        ids, scores = np.zeros(0, "int64"), np.zeros(0)
+        left = order
+        while len(left):
+            least = scores[-1] if len(ids) == k else 0.0
+            now = left[:FIRST_BLOCKS] if len(left) == len(order) else left[bound[left] >= least - 1e-12]
+            left = left[FIRST_BLOCKS:] if len(left) == len(order) else left[:0]
+            if not len(now):
+                break
+            wanted = np.zeros(blocks, bool)
+            wanted[now] = True
+            part = wanted[self.cell_block[cells]]
+            at, cell = _ranges(self.cell_start[cells[part]], self.cell_start[cells[part] + 1])
+            sums = np.bincount(self.owner[at], weights=query[which[part]][cell] * self.weight[at])
+            hit = np.flatnonzero(sums > 0)
+            ids, scores = np.concatenate([ids, hit]), np.concatenate([scores, sums[hit]])
             best = np.lexsort((ids, -scores.round(12)))[:k]
             ids, scores = ids[best], scores[best]
-            least = scores[-1] if len(ids) == k else 0.0
         return ids, scores
 
     def vote(self, ids: np.ndarray, scores: np.ndarray) -> float:
@@ -141,28 +122,30 @@ class Index:
         v = min(max(vote, 0.02), 0.98)
         return float(1 / (1 + np.exp(-(self.slope * np.log(v / (1 - v)) + self.shift))))
 
-    def score(self, terms: list[int], tf: list[int], k: int = NEIGHBOURS) -> tuple[float, list[int], list[float]]:
-        """Score, evidence ids and their cosines. A text without any term of the space takes the share among such examples."""
-        if not terms:
-            return self.prior, [], []
-        ids, cosines = self.nearest(np.asarray(terms), self.vector(terms, tf), k)
+    def score(self, terms: list[int], tf: list[int], unseen: list[int] | None = None, k: int = NEIGHBOURS) -> tuple[float, list[int], list[float]]:
+        """Score, evidence ids and their cosines. A text that shares no term with any example takes the share of label 1."""
+        ids, cosines = self.nearest(terms, self.vector(terms, tf, unseen), k) if len(terms) else (np.zeros(0, "int64"), np.zeros(0))
         if not len(ids):
-            return self.prior, [], []
+            return self.base, [], []
         return self.calibrated(self.vote(ids, cosines)), self.doc_ids[ids[:5]].tolist(), cosines[:5].tolist()
 
 
-def build_index(examples: list[tuple[int, int, list[int], list[int]]], idf: np.ndarray, k: int = NEIGHBOURS) -> Index:
-    """Index of (doc_id, y, terms, tf); similar examples side by side, so that block maxima are tight."""
-    empty = [y for _, y, terms, _ in examples if not terms]
-    kept = sorted((e for e in examples if e[2]), key=lambda e: (sorted(e[2], key=lambda t: -idf[t]), e[0]))
-    index = Index(idf, np.array([e[0] for e in kept], "int64"), np.array([e[1] for e in kept], float))
+def build_index(examples: list[tuple[int, int, list[int], list[int]]], term_weight: np.ndarray, unseen_weight: float = 1.0, k: int = NEIGHBOURS) -> Index:
+    """Index of (doc_id, y, terms, tf); examples with the same heavy terms side by side, so that block maxima are tight."""
+
+    def heavy(e):
+        w = (1 + np.log(np.asarray(e[3], float))) * term_weight[np.asarray(e[2], "int64")] if len(e[2]) else np.zeros(0)
+        return [int(e[2][i]) for i in np.argsort(-w, kind="stable")[:8]], e[0]
+
+    kept = sorted(examples, key=heavy)
+    labels = np.array([e[1] for e in kept], float)
+    index = Index(term_weight, np.array([e[0] for e in kept], "int64"), labels, unseen_weight, float((labels.sum() + 0.5) / (len(labels) + 1)))
     index.fill([(e[2], e[3]) for e in kept])
-    index.prior = (sum(empty) + 0.5) / (len(empty) + 1) if empty or kept else 0.5
-    if empty and not sum(empty):
-        index.prior = 0.5 / (len(empty) + 1)
     votes, truth = [], []
     for i, (_, y, terms, tf) in enumerate(kept):
-        ids, cosines = index.nearest(np.asarray(terms), index.vector(terms, tf), k + 1)
+        if not len(terms):
+            continue
+        ids, cosines = index.nearest(terms, index.vector(terms, tf), k + 1)
         other = ids != i
         if other.any():
             votes.append(min(max(index.vote(ids[other], cosines[other]), 0.02), 0.98))
@@ -180,46 +163,98 @@ def build_index(examples: list[tuple[int, int, list[int], list[int]]], idf: np.n
     return index
 
 
+def example_terms(examples: DataFrame) -> DataFrame:
+    """(doc_id, y, terms, tf) of examples (doc_id, y, text): all terms of the whole text in order of spelling, with their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in byte_slices(batches, "text"):
+            counts = [sorted(Counter(terms_of(t)).items()) for t in batch.column("text").to_pylist()]
+            yield pa.record_batch({
+                "doc_id": batch.column("doc_id"), "y": batch.column("y"),
+                "terms": pa.array([[w for w, _ in c] for c in counts], pa.list_(pa.binary())), "tf": pa.array([[n for _, n in c] for c in counts], pa.list_(pa.int32())),
+            })
+
+    return examples.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, terms array<binary>, tf array<int>")
+
+
+def relevance(present: np.ndarray, toxic: np.ndarray, n0: int, n1: int) -> np.ndarray:
+    """Factor of each term from the examples that have it (``present``, of which ``toxic`` have label 1): chi-square over itself plus a constant."""
+    a, b, n = (present - toxic).astype(float), toxic.astype(float), float(n0 + n1)
+    cross = a * (n1 - b) - b * (n0 - a)
+    under = present * (n - present) * float(n0) * float(n1)
+    chi2 = np.divide(n * cross * cross, under, out=np.zeros(len(a)), where=under > 0)
+    return np.maximum(LEAST_RELEVANCE, chi2 / (chi2 + max(HALF_CHI2, n / 30)))
+
+
+def document_frequencies(docs: DataFrame, words: list[bytes]) -> tuple[int, np.ndarray]:
+    """(rows, rows that hold each word) over all rows of ``docs`` (text); each task counts on its own and sends one array."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        number = {w: i for i, w in enumerate(words)}
+        counts = np.zeros(len(words) + 1, "int64")
+        for batch in byte_slices(batches, "text"):
+            for text in batch.column("text").to_pylist():
+                counts[[number[w] for w in set(terms_of(text)) if w in number]] += 1
+            counts[-1] += batch.num_rows
+        return counts
+
+    counts = summed(docs.select("text"), part)
+    return int(counts[-1]), counts[:-1]
+
+
+def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_DOCS) -> tuple[list[bytes], Index]:
+    """(terms by number, index) from ``docs`` (doc_id, text) and ``labels`` (doc_id, y), of which about ``bound`` are drawn by a hash of the id.
+
+    An id that several rows hold is one example, with the smallest of their texts.
+    """
+    sample = F.broadcast(bounded_sample(labels, "doc_id", bound, labels.count()))
+    learnt = docs.where(F.col("doc_id").isNotNull()).join(sample, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    rows = sorted(((r["doc_id"], r["y"], [bytes(w) for w in r["terms"]], list(r["tf"])) for r in example_terms(learnt).collect()), key=lambda r: r[0])
+    words = sorted(set().union(*(r[2] for r in rows)))
+    number = {w: i for i, w in enumerate(words)}
+    examples = [(i, y, [number[w] for w in terms], tf) for i, y, terms, tf in rows]
+    present, toxic = np.zeros(len(words), "int64"), np.zeros(len(words), "int64")
+    for _, y, terms, _ in examples:
+        present[terms] += 1
+        toxic[terms] += y
+    n, frequency = document_frequencies(docs, words)
+    ones = sum(y for _, y, _, _ in examples)
+    weight = (np.log((n + 1) / (frequency + 1)) + 1) * relevance(present, toxic, len(examples) - ones, ones)
+    return words, build_index(examples, weight, float((np.log(n + 1) + 1) * LEAST_RELEVANCE))
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_DOCS, threshold: float = 0.3) -> DataFrame:
     """``docs`` (doc_id, text, ...) without the text, plus score, predicted, evidence (doc ids) and cosines; one row per input row.
 
-    ``labels`` (doc_id, y) has the rows to learn from, of which about ``bound`` are drawn by a hash of the id. Document frequencies count
-    all rows of ``docs``. Columns named like an added one are replaced. Nulls are empty texts. Without labels of both kinds every score is the share of label 1.
+    ``labels`` (doc_id, y) has the rows to learn from, see :func:`learn`. A text is compared over all its terms with every example; terms that no
+    example has count in its length as ones that no row has. Columns named like an added one are replaced. Nulls are empty texts. A text that
+    shares no term with an example, and every text where there is none, takes the share of label 1 (one half without examples).
     """
-    stage = Stager(spark)
-    docs = docs.drop("y", "terms", "tf", "score", "predicted", "evidence", "cosines").withColumn("text", whole())
-    sample = F.broadcast(bounded_sample(labels, "doc_id", bound, labels.count()))
-    learnt = docs.where(F.col("doc_id").isNotNull()).join(sample, "doc_id").select("doc_id", "text", "y")
-    terms = choose_terms(learnt)
-    rows = stage(term_counts(docs, terms), "term_counts")
-    n = rows.count()
-    df = np.zeros(len(terms))
-    for r in rows.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect():
-        df[r["t"]] = r["n"]
-    idf = np.log((n + 1) / (df + 1)) + 1
-    examples = rows.join(sample, "doc_id").select("doc_id", "y", "terms", "tf").collect()
-    index = build_index(sorted((r["doc_id"], r["y"], list(r["terms"]), list(r["tf"])) for r in examples), idf)
-    model = share(spark, index)
-    names = [c for c in rows.columns if c not in ("terms", "tf")]
+    docs = docs.drop("score", "predicted", "evidence", "cosines").withColumn("text", whole())
+    words, index = learn(docs, labels, bound)
+    model, names = share(spark, (words, index)), [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple, tuple] = {}
-        examples = shared(model)
-        for batch in batches:
+        spelled, examples = shared(model)
+        number, known = {w: i for i, w in enumerate(spelled)}, {}
+        for batch in byte_slices(batches, "text"):
             made = []
-            for t, c in zip(batch.column("terms").to_pylist(), batch.column("tf").to_pylist(), strict=True):
-                key = (tuple(t), tuple(c))
+            for text in batch.column("text").to_pylist():
+                counts = Counter(terms_of(text))
+                # Texts with the same words get the same score, worked out once as long as it is remembered.
+                key = hashlib.blake2b(repr(sorted(counts.items())).encode(), digest_size=16).digest()
                 if key not in known:
-                    if len(known) > 50_000:
+                    if len(known) > 100_000:
                         known.clear()
-                    known[key] = examples.score(t, c)
+                    found = sorted((number[w], n) for w, n in counts.items() if w in number)
+                    known[key] = examples.score([t for t, _ in found], [n for _, n in found], [n for w, n in counts.items() if w not in number])
                 made.append(known[key])
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in names], pa.array([m[0] for m in made], pa.float64()), pa.array([m[1] for m in made], pa.list_(pa.int64())),
                  pa.array([m[2] for m in made], pa.list_(pa.float64()))], [*names, "score", "evidence", "cosines"])
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c in names) + ", score double, evidence array<long>, cosines array<double>"
-    return rows.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c in names) + ", score double, evidence array<long>, cosines array<double>"
+    return docs.select(*names, "text").mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 HELD_OUT, FOLDS = 2, 4

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +13,8 @@ from pyspark.sql import functions as F
 #: Grid values are held to this size on either side; a double of this size has no fraction left.
 GRID_LIMIT = 1 << 53
 _WIDTHS = (1, 2, 4, 8)
+#: Arrays of partitions that meet at a time.
+FAN_IN = 16
 
 
 def finite(vector: Column) -> Column:
@@ -77,8 +78,8 @@ def on_grid_rows(rows: DataFrame, scale: int, keep: list[str]) -> DataFrame:
 def summed(rows: DataFrame, part: Callable[[Iterator[pa.RecordBatch]], np.ndarray]) -> np.ndarray:
     """The sum of one array per partition of ``rows``; ``part`` makes it (float64 or int64) from the partition's batches.
 
-    Arrays of many partitions meet in about the square root of their number of groups first, so neither a task nor the driver holds all.
-    The order of the sum is that of the partitions, whatever finishes first.
+    Arrays of many partitions meet ``FAN_IN`` at a time in a tree, so neither a task nor the driver holds more. The order of the sum is that of
+    the partitions, whatever finishes first.
     """
     schema = "part int, kind string, shape array<int>, data binary"
 
@@ -97,13 +98,14 @@ def summed(rows: DataFrame, part: Callable[[Iterator[pa.RecordBatch]], np.ndarra
             yield row(TaskContext.get().partitionId(), total)
 
     def meet(t: pa.Table) -> pa.Table:
-        found = sorted(t.to_pylist(), key=lambda r: r["part"])
+        found = sorted(t.to_pylist(), key=lambda r: r["at"])
         total = sum((array(r["kind"], r["shape"], r["data"]) for r in found[1:]), array(found[0]["kind"], found[0]["shape"], found[0]["data"]))
         return pa.Table.from_batches([row(found[0]["part"], total)])
 
     parts = rows.rdd.getNumPartitions()
     sums = rows.mapInArrow(run, schema)
-    if parts > 64:
-        sums = sums.groupBy((F.col("part") % (math.isqrt(parts) + 1)).alias("g")).applyInArrow(meet, schema)
+    while parts > FAN_IN:
+        sums = sums.withColumns({"at": F.col("part"), "part": F.floor(F.col("part") / FAN_IN).cast("int")}).groupBy("part").applyInArrow(meet, schema)
+        parts = -(-parts // FAN_IN)
     found = sorted(sums.collect(), key=lambda r: r["part"])
     return sum((array(r["kind"], r["shape"], bytes(r["data"])) for r in found[1:]), array(found[0]["kind"], found[0]["shape"], bytes(found[0]["data"])))

@@ -62,11 +62,12 @@ def test_nearest_is_exact():
         terms = sorted(rng.choice(40, rng.integers(1, 6), replace=False).tolist())
         rows.append((i, int(i % 9 == 0), terms, rng.integers(1, 5, len(terms)).tolist()))
     idf = rng.uniform(1, 4, 40)
+    rows.append((700, 0, [], []))
     index = toxicity.build_index(rows, idf)
     dense = np.zeros((len(index.doc_ids), 40))
     by_id = {r[0]: r for r in rows}
     for n, i in enumerate(index.doc_ids.tolist()):
-        dense[n, by_id[i][2]] = index.vector(np.array(by_id[i][2]), by_id[i][3])
+        dense[n, by_id[i][2]] = index.vector(np.array(by_id[i][2], int), by_id[i][3])
     for i in range(0, 700, 23):
         terms, tf = np.array(by_id[i][2]), by_id[i][3]
         query = index.vector(terms, tf)
