@@ -13,6 +13,7 @@ import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ HALF_CHI2, LEAST_RELEVANCE = 30.0, 0.05
 NEIGHBOURS, BLOCK = 25, 64
 #: Blocks that are scored before bounds decide.
 FIRST_BLOCKS = 6
+#: A term of this share of the examples has a row of weights instead of postings; texts whose products with these rows are taken at a time.
+COMMON, TEXTS_AT_ONCE = 0.04, 32
 _SPACES = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
@@ -38,16 +41,18 @@ def terms_of(text: str) -> list[bytes]:
     return text.lower().encode().translate(_SPACES).split()
 
 
-def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All positions of the ranges [start, end) one after the other, and which range each belongs to."""
-    length = end - start
-    which = np.repeat(np.arange(len(start)), length)
-    return np.arange(int(length.sum())) + np.repeat(start - (np.cumsum(length) - length), length), which
+def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """All positions of the ranges that begin at ``start``, one after the other."""
+    ends = np.cumsum(length)
+    return np.arange(ends[-1] if len(ends) else 0, dtype="int32") + np.repeat((start - (ends - length)).astype("int32"), length)
 
 
 @dataclass
 class Index:
-    """Examples in blocks of ``BLOCK``: postings by term and block, and the largest weight of each term in each block that has it."""
+    """Examples in blocks of ``BLOCK``: postings by term and block, and the largest weight of each term in each block that has it.
+
+    Terms that are common among the examples have rows of weights, by example, instead.
+    """
 
     term_weight: np.ndarray
     doc_ids: np.ndarray
@@ -56,17 +61,20 @@ class Index:
     base: float = 0.5
     slope: float = 1.0
     shift: float = 0.0
+    row_of: np.ndarray = field(init=False)
+    rows: np.ndarray = field(init=False)
     owner: np.ndarray = field(init=False)
     weight: np.ndarray = field(init=False)
     cell_of: np.ndarray = field(init=False)
     cell_block: np.ndarray = field(init=False)
     cell_top: np.ndarray = field(init=False)
     cell_start: np.ndarray = field(init=False)
+    cell_size: np.ndarray = field(init=False)
 
-    def vector(self, terms, tf, unseen: list[int] | None = None) -> np.ndarray:
+    def vector(self, terms, tf, unseen=()) -> np.ndarray:
         """Unit weights of known ``terms``; the counts of ``unseen`` terms add to the length only."""
         w = (1 + np.log(np.asarray(tf, float))) * self.term_weight[np.asarray(terms, "int64")]
-        rest = (1 + np.log(np.asarray(unseen or [1], float))) * self.unseen_weight if unseen else np.zeros(0)
+        rest = (1 + np.log(np.asarray(unseen, float))) * self.unseen_weight
         length = np.sqrt((w * w).sum() + (rest * rest).sum())
         return w / length if length > 0 else w
 
@@ -75,41 +83,70 @@ class Index:
         term = np.concatenate([np.asarray(t, "int64") for t, _ in rows]) if sum(size) else np.zeros(0, "int64")
         owner = np.repeat(np.arange(len(rows)), size)
         weight = np.concatenate([self.vector(t, c) for t, c in rows if len(t)]) if sum(size) else np.zeros(0)
+        common = np.bincount(term, minlength=len(self.term_weight)) >= max(COMMON * len(rows), 2)
+        self.row_of = np.where(common, np.cumsum(common) - 1, -1)
+        self.rows = np.zeros((int(common.sum()), len(rows)))
+        self.rows[self.row_of[term[common[term]]], owner[common[term]]] = weight[common[term]]
+        rare = ~common[term]
+        term, owner, weight = term[rare], owner[rare], weight[rare]
         order = np.lexsort((owner, term))
-        self.owner, self.weight, term = owner[order], weight[order], term[order]
+        self.owner, self.weight, term = owner[order].astype("int32"), weight[order], term[order]
         block = self.owner // BLOCK
         new = np.ones(len(term), bool)
         new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
         start = np.flatnonzero(new)
         # A cell is a term in a block: its postings, its block and its largest weight; cell_of says where the cells of a term begin.
-        self.cell_start = np.append(start, len(term))
+        self.cell_start, self.cell_size = start, np.diff(np.append(start, len(term)))
         self.cell_block = block[start]
         self.cell_top = np.maximum.reduceat(self.weight, start) if len(start) else np.zeros(0)
         self.cell_of = np.searchsorted(term[start], np.arange(len(self.term_weight) + 1))
 
-    def nearest(self, terms, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Exactly the k examples of largest cosine above 0 (ties: earlier example) and their cosines."""
+    def common_part(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """(queries, examples): what the common terms add to the cosines of (terms, weights)."""
+        dense = np.zeros((len(queries), len(self.rows)))
+        for i, (terms, weights) in enumerate(queries):
+            at = self.row_of[terms]
+            dense[i, at[at >= 0]] = weights[at >= 0]
+        return dense @ self.rows
+
+    def nearest(self, terms, query: np.ndarray, k: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Exactly the k examples of largest cosine above 0 (ties: earlier example) and their cosines.
+
+        ``common`` is the query's row of :meth:`common_part`. A block is bounded by the largest of these in it plus the largest weights of the
+        other terms.
+        """
         terms = np.asarray(terms, "int64")
-        cells, which = _ranges(self.cell_of[terms], self.cell_of[terms + 1])
-        blocks = -(-len(self.doc_ids) // BLOCK)
-        bound = np.bincount(self.cell_block[cells], weights=query[which] * self.cell_top[cells], minlength=blocks)
+        if common is None:
+            common = self.common_part([(terms, query)])[0]
+        rare = self.row_of[terms] < 0
+        terms, query = terms[rare], query[rare]
+        each = self.cell_of[terms + 1] - self.cell_of[terms]
+        cells, heavy = _ranges(self.cell_of[terms], each), np.repeat(query, each)
+        block = self.cell_block[cells]
+        n = len(self.doc_ids)
+        blocks = -(-n // BLOCK)
+        bound = np.bincount(block, weights=heavy * self.cell_top[cells], minlength=blocks)
+        if n:
+            bound = bound + np.maximum.reduceat(common, np.arange(0, n, BLOCK))
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         ids, scores = np.zeros(0, "int64"), np.zeros(0)
-        left = order
-        while len(left):
-            least = scores[-1] if len(ids) == k else 0.0
-            now = left[:FIRST_BLOCKS] if len(left) == len(order) else left[bound[left] >= least - 1e-12]
-            left = left[FIRST_BLOCKS:] if len(left) == len(order) else left[:0]
+        for now in (order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]):
+            if len(ids) == k:
+                now = now[bound[now] >= scores[-1] - 1e-12]
             if not len(now):
                 break
             wanted = np.zeros(blocks, bool)
             wanted[now] = True
-            part = wanted[self.cell_block[cells]]
-            at, cell = _ranges(self.cell_start[cells[part]], self.cell_start[cells[part] + 1])
-            sums = np.bincount(self.owner[at], weights=query[which[part]][cell] * self.weight[at])
-            hit = np.flatnonzero(sums > 0)
+            part = np.flatnonzero(wanted[block])
+            length = self.cell_size[cells[part]]
+            at = _ranges(self.cell_start[cells[part]], length)
+            sums = common + np.bincount(self.owner[at], weights=np.repeat(heavy[part], length) * self.weight[at], minlength=n)
+            hit = np.flatnonzero(np.repeat(wanted, BLOCK)[:n] & (sums > 0))
             ids, scores = np.concatenate([ids, hit]), np.concatenate([scores, sums[hit]])
+            if len(ids) > k:
+                good = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k] - 1e-11)
+                ids, scores = ids[good], scores[good]
             best = np.lexsort((ids, -scores.round(12)))[:k]
             ids, scores = ids[best], scores[best]
         return ids, scores
@@ -122,12 +159,21 @@ class Index:
         v = min(max(vote, 0.02), 0.98)
         return float(1 / (1 + np.exp(-(self.slope * np.log(v / (1 - v)) + self.shift))))
 
-    def score(self, terms: list[int], tf: list[int], unseen: list[int] | None = None, k: int = NEIGHBOURS) -> tuple[float, list[int], list[float]]:
-        """Score, evidence ids and their cosines. A text that shares no term with any example takes the share of label 1."""
-        ids, cosines = self.nearest(terms, self.vector(terms, tf, unseen), k) if len(terms) else (np.zeros(0, "int64"), np.zeros(0))
-        if not len(ids):
-            return self.base, [], []
-        return self.calibrated(self.vote(ids, cosines)), self.doc_ids[ids[:5]].tolist(), cosines[:5].tolist()
+    def scores(self, texts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int = NEIGHBOURS) -> list[tuple[float, list[int], list[float]]]:
+        """Score, evidence ids and their cosines for texts (known terms, their counts, counts of unseen terms), some at a time.
+
+        A text that shares no term with any example takes the share of label 1.
+        """
+        out = []
+        for a in range(0, len(texts), TEXTS_AT_ONCE):
+            queries = [(terms, self.vector(terms, tf, unseen)) for terms, tf, unseen in texts[a:a + TEXTS_AT_ONCE]]
+            for (terms, query), common in zip(queries, self.common_part(queries), strict=True):
+                ids, cosines = self.nearest(terms, query, k, common) if len(terms) else (np.zeros(0, "int64"), np.zeros(0))
+                if len(ids):
+                    out.append((self.calibrated(self.vote(ids, cosines)), self.doc_ids[ids[:5]].tolist(), cosines[:5].tolist()))
+                else:
+                    out.append((self.base, [], []))
+        return out
 
 
 def build_index(examples: list[tuple[int, int, list[int], list[int]]], term_weight: np.ndarray, unseen_weight: float = 1.0, k: int = NEIGHBOURS) -> Index:
@@ -238,17 +284,20 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, bound: int
         spelled, examples = shared(model)
         number, known = {w: i for i, w in enumerate(spelled)}, {}
         for batch in byte_slices(batches, "text"):
-            made = []
-            for text in batch.column("text").to_pylist():
+            # Equal texts get equal scores, worked out once as long as they are remembered.
+            texts = batch.column("text").to_pylist()
+            keys = [hashlib.blake2b(t.encode(), digest_size=16).digest() for t in texts]
+            if len(known) > 100_000:
+                known.clear()
+            new = {key: t for key, t in zip(keys, texts, strict=True) if key not in known}
+            asked = []
+            for text in new.values():
                 counts = Counter(terms_of(text))
-                # Texts with the same words get the same score, worked out once as long as it is remembered.
-                key = hashlib.blake2b(repr(sorted(counts.items())).encode(), digest_size=16).digest()
-                if key not in known:
-                    if len(known) > 100_000:
-                        known.clear()
-                    found = sorted((number[w], n) for w, n in counts.items() if w in number)
-                    known[key] = examples.score([t for t, _ in found], [n for _, n in found], [n for w, n in counts.items() if w not in number])
-                made.append(known[key])
+                at = np.fromiter(map(number.get, counts, repeat(-1)), "int64", len(counts))
+                tf = np.fromiter(counts.values(), "int64", len(counts))
+                asked.append((at[at >= 0], tf[at >= 0], tf[at < 0]))
+            known.update(zip(new, examples.scores(asked), strict=True))
+            made = [known[key] for key in keys]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in names], pa.array([m[0] for m in made], pa.float64()), pa.array([m[1] for m in made], pa.list_(pa.int64())),
                  pa.array([m[2] for m in made], pa.list_(pa.float64()))], [*names, "score", "evidence", "cosines"])

@@ -108,4 +108,6 @@ def summed(rows: DataFrame, part: Callable[[Iterator[pa.RecordBatch]], np.ndarra
         sums = sums.withColumns({"at": F.col("part"), "part": F.floor(F.col("part") / FAN_IN).cast("int")}).groupBy("part").applyInArrow(meet, schema)
         parts = -(-parts // FAN_IN)
     found = sorted(sums.collect(), key=lambda r: r["part"])
+    if not found:  # no partition at all
+        return part(iter(()))
     return sum((array(r["kind"], r["shape"], bytes(r["data"])) for r in found[1:]), array(found[0]["kind"], found[0]["shape"], bytes(found[0]["data"])))
