@@ -452,6 +452,29 @@ ORACLES["analysis_misses"] = f"""{ctes('postings_p', 'analysed_parts')}, {identi
   JOIN idp i ON i.arrival_idx = a.p_partkey WHERE written_at <= {TS} AND written_at > {TS} - INTERVAL 7 DAY)
 SELECT fingerprint, arrival_idx FROM {unique('idp')} WHERE fingerprint NOT IN (SELECT fingerprint FROM live)"""
 
+
+
+def _words(e: str, named: dict[str, list[str]], otherwise: str) -> str:
+    arms = " ".join(f"WHEN {' OR '.join(f'contains({e}, {chr(39)}{w}{chr(39)})' for w in words)} THEN '{name}'" for name, words in named.items())
+    return f"CASE {arms} ELSE {otherwise} END"
+
+
+_COST = "len(title) + len(company) + coalesce(len(location), 0) + coalesce(len(description), 0) + coalesce(len(array_to_string(skills, ' ')), 0)"
+_BUDGET = f"""{ctes('postings_p', 'analysed_parts')}, {identified()}, live AS (SELECT i.fingerprint FROM analysed_parts a
+  JOIN idp i ON i.arrival_idx = a.p_partkey WHERE written_at <= {TS} AND written_at > {TS} - INTERVAL 7 DAY),
+misses AS (SELECT *, {_COST} AS cost, lower(concat_ws(' ', title, coalesce(description, ''), '')) AS said FROM {unique('idp')}
+  WHERE fingerprint NOT IN (SELECT fingerprint FROM live)),
+spent AS (SELECT *, sum(cost) OVER (ORDER BY user_id, arrival_idx) AS spent, sum(cost) OVER () // 2 AS budget FROM misses)"""
+PART_WORDS = (
+    {"metalwork": ["anvil", "gear", "bolt"], "fitting": ["ring", "rod", "plate"], "gadget": ["widget", "gizmo"]},
+    {"senior": ["old", "large"], "junior": ["new", "small"]}, {"hybrid": ["hot", "cold"], "remote": ["remote"]},
+)
+ORACLES["analysed_postings"] = f"""{_BUDGET} SELECT fingerprint, {_words('said', PART_WORDS[0], "'other'")} AS role,
+  {_words('said', PART_WORDS[1], "coalesce(experience_level, 'unknown')")} AS level, coalesce(array_to_string(list_transform(skills, lambda s: trim(s)), '|'), '') AS skills,
+  {_words("lower(said || ' ' || coalesce(location, ''))", PART_WORDS[2], "coalesce(work_type, 'any')")} AS work_type, {TS} AS written_at
+FROM spent WHERE spent <= budget"""
+ORACLES["skipped_analyses"] = f"{_BUDGET} SELECT fingerprint, user_id, arrival_idx, CAST(cost AS BIGINT) AS cost, 'cost' AS reason FROM spent WHERE spent > budget"
+
 _FENCED = f"{trim('''regexp_replace(regexp_replace(response, '^(?i:```(?:json)?)' || '{WS}' || '*', ''), '{WS}' || '*```$', '')''')}".replace("{WS}", WS_CLASS)
 _NUMERIC = "('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT')"
 ORACLES["parsed_match_responses"] = f"""{ctes('match_responses')}, c AS (SELECT doc_id, response, {_FENCED} AS t FROM match_responses),
@@ -503,6 +526,7 @@ _LOG = """versions AS (SELECT user_id, event_type, value, event_id AS version, t
 _LIVE = f"""live AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY written_at DESC, version DESC) AS rn
   FROM versions WHERE written_at <= {TS}) WHERE rn = 1 AND NOT deleted AND (expires_at IS NULL OR expires_at > {TS}))"""
 ORACLES["live_state"] = f"WITH {_LOG}, {_LIVE} SELECT user_id, event_type, value, version, written_at FROM live"
+ORACLES["folded_state"] = ORACLES["live_state"]
 ORACLES["claim_if_absent"] = f"""WITH {_LOG}, {_LIVE}, c AS (SELECT user_id % 200 AS user_id, event_type, value, event_id AS version,
   row_number() OVER (PARTITION BY user_id % 200, event_type ORDER BY event_id) AS rn FROM events)
 SELECT user_id, event_type, value, version, {TS} AS written_at, {TS} + INTERVAL 36 HOUR AS expires_at, false AS deleted FROM c
@@ -581,6 +605,8 @@ s AS (SELECT DISTINCT timezone || ':' || {_SLOT_KEY} AS slot_key, floor((epoch_u
 held AS (SELECT timezone || ':2024-01-30-2100' AS slot_key FROM profiles WHERE user_id % 50 = 0 AND user_id % 72 < 36)
 SELECT slot_key, 'scheduled' AS mode, {_LATE} AS claimed_at FROM s WHERE lag <= 300 AND slot_key NOT IN (SELECT slot_key FROM held)"""
 
+ORACLES["claimed_slots"] = f"SELECT slot_key, 1 AS winners, 1 AS number FROM ({ORACLES['slot_claims']})"
+
 # --- whole runs --------------------------------------------------------------------------------------
 
 
@@ -609,12 +635,14 @@ told AS (SELECT * EXCLUDE (failed, broken), broken AS failed, CASE WHEN NOT has_
 _NO_MATCH = NO_MATCH_TEXT.replace("'", "''").replace("\n", "' || chr(10) || '")
 ORACLES["pipeline_outbox"] = f"""{run(TS)} {_OUTBOX} FROM matched WHERE fresh
 UNION ALL SELECT user_id, 1, 'no_match', '{_NO_MATCH}', NULL, NULL, NULL FROM told WHERE tell_no_match"""
+ORACLES["streamed_matches"] = f"{run(TS)} SELECT user_id, seq, text, button_url, fingerprint FROM ({_OUTBOX} FROM matched WHERE fresh)"
 ORACLES["pipeline_outcomes"] = f"{run(TS)} SELECT * FROM told"
 ORACLES["run_stats"] = f"""{run(TS)} SELECT {TS} AS last_run_at, count(*) AS subscribers, count(*) AS processed,
   count(*) FILTER (WHERE outcome = 'sent_jobs') AS notified_with_jobs,
   count(*) FILTER (WHERE outcome = 'no_match' OR outcome = 'error' AND tell_no_match) AS notified_no_match,
   count(*) FILTER (WHERE outcome = 'skipped_no_preferences') AS skipped_no_preferences,
-  count(*) FILTER (WHERE outcome = 'error') AS errors, CAST(coalesce(sum(collected), 0) AS BIGINT) AS total_jobs_collected FROM told"""
+  count(*) FILTER (WHERE outcome = 'error') AS errors, CAST(coalesce(sum(collected), 0) AS BIGINT) AS total_jobs_collected,
+  CAST(0 AS BIGINT) AS skipped_analyses FROM told"""
 ORACLES["due_run_outcomes"] = f"""{run(_SEVEN, f"list_contains(notification_times, strftime({local(_SEVEN, _ZONE)}, '%H:%M'))")}
 SELECT user_id, outcome FROM told"""
 ORACLES["simple_notifications"] = f"""{ctes('postings_p', 'analysed_parts', 'subscription_log')}, all_profiles AS ({duck_sql('profiles')}),

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,9 @@ from ..functions import dates, responses, schedule as clock, scoring, text, urls
 from ..functions.fingerprint import with_fingerprints, with_url_fingerprint
 from ..functions.preferences import valid_experience_level, valid_job_title, valid_work_type
 from ..operators import analyze, collect, dedup, match, notify, report, schedule, state
+from ..operators.budget import Budget, admit
+from ..operators.claims import ClaimFolder
+from ..operators.folded import FoldedState
 from ..operators.preferences import create_preferences, live_preferences, preference_versions
 from ..sources import collect as sources
 from ..sources.common import query_columns
@@ -347,7 +352,7 @@ def _analyses(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _sent_log(spark: SparkSession, sf: str) -> DataFrame:
-    keys = _identified(spark, sf).select(F.col("arrival_idx").alias("l_partkey"), "fingerprint")
+    keys = _identified(spark, sf).select(F.col("arrival_idx").alias("l_partkey"), "fingerprint", "semantic_key")
     return B.view(spark, sf, "sent_parts").join(keys, "l_partkey").drop("l_partkey")
 
 
@@ -406,6 +411,43 @@ def analysis_prompts(spark, sf):
     return analyze.analysis_prompts(analyze.analysis_misses(unique, _analyses(spark, sf), now()))
 
 
+#: Words of parts, for the built-in analyser.
+PART_ROLES = {"metalwork": ["anvil", "gear", "bolt"], "fitting": ["ring", "rod", "plate"], "gadget": ["widget", "gizmo"]}
+PART_LEVELS = {"senior": ["old", "large"], "junior": ["new", "small"]}
+PART_WORKS = {"hybrid": ["hot", "cold"], "remote": ["remote"]}
+
+
+def _within_budget(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Postings without an analysis, in arrival order, as far as half of what they cost together goes; and the others."""
+    unique = dedup.global_unique(_identified(spark, sf))
+    misses = Stager(spark)(analyze.analysis_misses(unique, _analyses(spark, sf), now()), "misses")
+    total = misses.agg(F.sum(analyze.posting_cost())).first()[0]
+    return admit(misses, ["user_id", "arrival_idx"], analyze.posting_cost(), Budget(cost=total // 2))
+
+
+@query
+def analysed_postings(spark, sf):
+    """The built-in analyser under a budget."""
+    made = analyze.keyword_analyses(_within_budget(spark, sf)[0], now(), PART_ROLES, PART_LEVELS, PART_WORKS)
+    return made.withColumn("skills", F.array_join("skills", "|"))
+
+
+@query
+def skipped_analyses(spark, sf):
+    return _within_budget(spark, sf)[1].select("fingerprint", "user_id", "arrival_idx", "cost", "reason")
+
+
+@query
+def claimed_slots(spark, sf):
+    """Three triggers try each claimable slot at once: how many won, and under which number."""
+    claims, at = ClaimFolder(spark, f"{Stager(spark).folder}/claims"), datetime.fromisoformat("2024-01-30 19:05:00")
+    keys = sorted(r["slot_key"] for r in slot_claims(spark, sf).collect())  # one per time zone and time of day
+    with ThreadPoolExecutor(3) as triggers:
+        won = [(k, sum(c is not None for c in triggers.map(lambda n: claims.acquire(k, f"trigger-{n}", at), range(3)))) for k in keys]
+    rows = [(k, n, claims.holder(k, at).number) for k, n in won]
+    return spark.createDataFrame(rows, "slot_key string, winners int, number int")
+
+
 @query
 def parsed_match_responses(spark, sf):
     return responses.parse_match_responses(B.view(spark, sf, "match_responses")).drop("response")
@@ -463,6 +505,22 @@ def live_state(spark, sf):
     return state.live(_versions(spark, sf), STATE_KEY, now()).select(*STATE_KEY, "value", "version", "written_at")
 
 
+@query
+def folded_state(spark, sf):
+    """The same state out of a snapshot that was folded twice, and the versions since."""
+    log = _versions(spark, sf)
+    held = FoldedState(spark, f"{Stager(spark).folder}/state", STATE_KEY, log.schema, buckets=8)
+    last = None
+    for until in ("2024-01-11 00:00:00", "2024-01-21 12:00:00", None):
+        late = F.lit(True) if last is None else F.col("written_at") > F.lit(last).cast("timestamp")
+        early = F.lit(True) if until is None else F.col("written_at") <= F.lit(until).cast("timestamp")
+        held.append(log.where(late & early), f"until-{until or 'now'}"[:16].replace(" ", "-"))
+        if until is not None:
+            held.fold(datetime.fromisoformat(until))
+        last = until
+    return held.read(now()).select(*STATE_KEY, "value", "version", "written_at")
+
+
 @query
 def claim_if_absent(spark, sf):
     """First purchase-sized event per key wins where the key holds no live value."""
@@ -720,17 +778,13 @@ def streamed_bot_updates(spark, sf):
 
 @query
 def streamed_matches(spark, sf):
-    """Continuous matching of the users' postings, landed as files; returns its outbox."""
-    inputs = _inputs(spark, sf)
+    """Continuous matching with the sent log as state. The second wave repeats the postings of the first, and so sends those of the other users only."""
+    inputs, folder = _inputs(spark, sf), Stager(spark).folder
     subscribers = state.active_subscribers(inputs.subscription_log)
-    profiles = inputs.preferences.join(subscribers, "user_id", "left_semi")
-    landed = Stager(spark)(user_postings(spark, sf, profiles), "postings")
-    stream = spark.readStream.schema(landed.schema).parquet(landed.inputFiles()[0].rsplit("/", 1)[0])
-    root = Stager(spark).folder
-    store = pipeline.RunStore(spark, f"{root}/store")
-    continuous.start_continuous_match(
-        stream, inputs, store, f"{root}/checkpoint", now, available_now=True
-    ).awaitTermination()
-    return spark.read.parquet(f"{root}/store/outbox").where("kind = 'match'").select(
-        "user_id", "seq", "text", "button_url", "fingerprint"
-    )
+    made = Stager(spark)(user_postings(spark, sf, inputs.preferences.join(subscribers, "user_id", "left_semi")), "postings")
+    store = pipeline.RunStore(spark, f"{folder}/store")
+    for wave in (made.where("user_id % 2 = 0"), made):
+        wave.write.mode("append").parquet(f"{folder}/postings")
+        stream = spark.readStream.schema(made.schema).parquet(f"{folder}/postings")
+        continuous.start_match_stream(stream, inputs, store, f"{folder}/checkpoint", now(), available_now=True).awaitTermination()
+    return store.read("outbox", "user_id long, seq int, text string, button_url string, fingerprint string")

@@ -10,8 +10,9 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -124,12 +125,22 @@ def bot_events(updates: DataFrame, subscriptions: DataFrame | None = None, windo
         BotChat(window_seconds), EVENTS, outputMode="Append", timeMode="EventTime", initialState=before)
 
 
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """A query keeps the settings it starts with: one that starts in here has the RocksDB state store; the session gets its own setting back."""
+    held = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, STATE_STORE)
+    try:
+        yield
+    finally:
+        spark.conf.unset(PROVIDER) if held is None else spark.conf.set(PROVIDER, held)
+
+
 def start_bot(updates: DataFrame, folder: str, subscriptions: DataFrame | None = None, available_now: bool = False, **options) -> StreamingQuery:
     """Run the chain into two tables and the answers below ``folder``: preferences, subscriptions, status.
 
     Every micro-batch writes folders of its own number, so a batch that runs again after a failure replaces its rows: nothing is lost or doubled.
     """
-    conf = updates.sparkSession.conf
 
     def write(batch: DataFrame, number: int) -> None:
         batch.persist()
@@ -140,13 +151,8 @@ def start_bot(updates: DataFrame, folder: str, subscriptions: DataFrame | None =
             batch.unpersist()
 
     writer = bot_events(updates, subscriptions, **options).writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint")
-    # A query keeps the settings it starts with; the session gets its own back.
-    held = conf.get(PROVIDER, None)
-    conf.set(PROVIDER, STATE_STORE)
-    try:
+    with rocksdb_state(updates.sparkSession):
         return (writer.trigger(availableNow=True) if available_now else writer).start()
-    finally:
-        conf.unset(PROVIDER) if held is None else conf.set(PROVIDER, held)
 
 
 #: The tables :func:`start_bot` writes.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from helpers import NOW, postings, preferences
 from postmatch.functions import responses
 from postmatch.functions.fingerprint import with_fingerprints
-from postmatch.operators import analyze, collect, keywords, match, notify
+from postmatch.operators import analyze, budget, collect, keywords, match, notify
 from postmatch.plans import registered
 from postmatch.schema import ANALYSIS, SENT_LOG
 
@@ -173,3 +173,34 @@ def test_searches_reach_parts_of_every_spelling(spark):
     by_spelling = [sum(p % 4 == k for p in parts) for k in range(4)]
     assert len(pairs) > 5_000 and min(by_spelling) > 0.6 * 500
     assert any(r["n"] == 0 for r in pairs) and any(r["n"] > 0 for r in pairs)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.one_of(st.none(), st.integers(0, 9)), max_size=30), st.one_of(st.none(), st.integers(0, 20)), st.one_of(st.none(), st.integers(0, 90)),
+       st.integers(1, 5))
+def test_admission_is_a_prefix_of_the_order(spark, costs, most_rows, most_cost, ranges):
+    rows = spark.createDataFrame([(i // 7, i, c, "x") for i, c in enumerate(costs)], "user_id long, arrival_idx long, c int, cost_of string").repartition(3)
+    good, left = budget.admit(rows, ["user_id", "arrival_idx"], F.col("c"), budget.Budget(most_rows, most_cost), ranges)
+    spent, want, why = 0, [], []
+    for i, c in enumerate(costs):
+        spent += c or 0
+        if most_rows is not None and i + 1 > most_rows:
+            why.append((i, c or 0, "count"))
+        elif most_cost is not None and spent > most_cost:
+            why.append((i, c or 0, "cost"))
+        else:
+            want.append(i)
+    assert sorted(r["arrival_idx"] for r in good.collect()) == want and good.columns == rows.columns
+    assert sorted((r["arrival_idx"], r["cost"], r["reason"]) for r in left.collect()) == why
+
+
+def test_built_in_analyser(spark):
+    rows = with_fingerprints(postings(
+        spark, {"title": "Senior Backend Engineer", "description": "Hybrid work", "skills": ["SQL", " ", "SQL", " Go "]}, {"title": "Cook", "work_type": "on-site"},
+        {"title": "React lead", "location": "Remote, EU", "description": None, "skills": None}))
+    made = {r["role"]: r for r in analyze.keyword_analyses(rows, F.lit(NOW)).collect()}
+    assert (made["backend"]["level"], made["backend"]["work_type"], made["backend"]["skills"]) == ("senior", "hybrid", ["SQL", "Go"])
+    assert (made["other"]["level"], made["other"]["work_type"], made["other"]["skills"]) == ("unknown", "on-site", [])
+    assert (made["frontend"]["level"], made["frontend"]["work_type"], made["frontend"]["skills"]) == ("lead", "remote", [])
+    done = analyze.analyse_within(rows, analyze.KEYWORDS, F.lit(NOW), budget.Budget(rows=2))
+    assert done.good.count() == 2 and [r["reason"] for r in done.skipped.collect()] == ["count"] and done.rejected is None

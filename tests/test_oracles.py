@@ -26,7 +26,7 @@ def con():
 
 def test_twins_belong_to_queries():
     assert set(TWINS) <= set(QUERIES)
-    assert set(QUERIES) - set(TWINS) == {"analysis_prompts", "wizard_preferences", "streamed_wizard", "streamed_matches"}
+    assert set(QUERIES) - set(TWINS) == {"analysis_prompts", "wizard_preferences", "streamed_wizard"}
 
 
 @pytest.mark.parametrize("name", list(QUERIES))

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from helpers import NOW, postings, preferences
+from postmatch.functions.fingerprint import with_fingerprints
 from postmatch.operators.state import active_subscribers
 from postmatch.plans import pipeline
 from postmatch.schema import ANALYSIS, SENT_LOG, SENT_LOG_BY_DATE, SUBSCRIPTION_LOG, UPDATE
@@ -201,3 +202,36 @@ def test_bot_chain_equals_its_parts_on_private_chats(spark, tmp_path):
     want = [(r["user_id"], r["action"]) for r in subscriptions.subscription_actions(kept_rows).collect()] + [(r["user_id"], "add") for r in confirmed]
     assert sorted((r["user_id"], r["action"]) for r in said["subscription"]) == sorted(want)
 
+
+
+# --- matching with the sent log as state ---
+
+def test_match_stream_remembers_what_was_sent(spark, tmp_path):
+    good = {"skills": ["Node.js"], "work_type": "remote", "experience_level": "junior"}
+    second = {**good, "application_url": "https://example.com/jobs/2", "title": "Backend Developer II"}
+    third = {**good, "application_url": "https://example.com/jobs/3", "title": "Backend Developer III"}
+    rows = [postings(spark, good, {**good, "description": "a longer text than the other copy has"}, second, {"title": "Chef"}), postings(spark, good, second, third)]
+    keys = {r["title"]: r["fingerprint"] for r in with_fingerprints(rows[1]).collect()}
+    log = [(1, keys[second["title"]], NOW - timedelta(days=29), second["title"], "Stripe"), (1, keys[third["title"]], NOW - timedelta(days=30), third["title"], "Stripe"),
+           (2, keys[good.get("title", "Backend Developer")], NOW - timedelta(days=1), "Backend Developer", "Stripe")]
+    data = pipeline.RunInputs(
+        subscription_log=spark.createDataFrame([(1, "add", T0)], SUBSCRIPTION_LOG), preferences=preferences(spark),
+        collector=None, analyses=spark.createDataFrame([], ANALYSIS), sent_log=spark.createDataFrame(log, SENT_LOG))
+    store, box = pipeline.RunStore(spark, str(tmp_path / "store")), "user_id long, fingerprint string, run_id string"
+    told = []
+    for wave in rows:
+        wave.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(rows[0].schema).parquet(str(tmp_path / "in"))
+        query = continuous.start_match_stream(stream, data, store, str(tmp_path / "cp"), F.lit(NOW).cast("timestamp"), available_now=True)
+        assert query.awaitTermination(180)
+        told.append({r["fingerprint"] for r in store.read("outbox", box).collect()})
+    # The first wave sends the new posting once; the second only what the log holds no longer.
+    assert told == [{keys["Backend Developer"]}, {keys["Backend Developer"], keys[third["title"]]}]
+    assert store.read("outbox", box).count() == 2 == store.read("sent_log", SENT_LOG_BY_DATE).count()
+
+
+def test_sent_memory_makes_the_semantic_key(spark):
+    rows = with_fingerprints(postings(spark, {}, {"title": "Other"}))
+    log = rows.select("user_id", "fingerprint", F.lit(NOW).cast("timestamp").alias("sent_at"), F.col("title").alias("job_title"), "company")
+    made = continuous.sent_memory(log.unionByName(log), F.lit(NOW).cast("timestamp")).collect()
+    assert sorted((r["semantic_key"], r["fingerprint"]) for r in made) == sorted((r["semantic_key"], r["fingerprint"]) for r in rows.collect())
