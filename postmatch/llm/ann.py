@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Stager, table
+from .vectors import usual_length
 
 SHARD, QUERY_BLOCK = 8_192, 4_096
 DEGREE, BEAM, ALPHA, ENTRIES = 32, 64, 1.2, 48
@@ -209,9 +210,10 @@ def search(spark: SparkSession, index: DataFrame, queries: DataFrame, k: int, be
 def nearest(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Each query's k nearest rows by inner product. Null ids, and vectors that are null, zero or not finite, take no part.
 
-    Rows that repeat an id count once, with the smallest of its vectors. All vectors have the same number of components.
+    Rows that repeat an id count once, with the smallest of its vectors. Vectors of another length than most of ``vectors`` take no part.
     """
-    once = lambda df: usable(df, key, vector).groupBy("id").agg(F.min("v").alias("v"))
+    size = usual_length(usable(vectors, key, vector), "v")
+    once = lambda df: usable(df, key, vector).where(F.size("v") == size).groupBy("id").agg(F.min("v").alias("v"))
     return search(spark, build_index(spark, once(vectors), k), once(queries), k)
 
 

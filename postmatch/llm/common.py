@@ -24,6 +24,17 @@ def whole(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """Names like ``wanted`` that no column has, whatever the case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def folded(key: str, folds: int) -> Column:
     """crc32 of the id as text, modulo the number of folds; a null id belongs to no fold."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % folds, F.lit(-1))

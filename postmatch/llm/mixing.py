@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stager, table, whole, words_of
+from .common import Stager, free_names, table, whole, words_of
 
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Documents of a source that land together with the one or two that its last flight leaves: 2^12 choices at most.
@@ -188,11 +188,12 @@ def sized(docs: DataFrame, key) -> DataFrame:
 
 def mixed_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it. ``docs`` is a stored table, read in the same order each time."""
+    number, times, turn = free_names(docs.columns, "_row", "_copies", "_copy")
     row = F.monotonically_increasing_id()
     # The texts are shuffled at every size: a broadcast of the copies would have no bound.
-    copies = mix(spark, sized(docs, row)).where("copies > 0").select(F.col("key").alias("_row"), "copies").hint("merge")
-    return docs.withColumn("_row", row).join(copies, "_row").withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))
+    copies = mix(spark, sized(docs, row)).where("copies > 0").select(F.col("key").alias(number), F.col("copies").alias(times)).hint("merge")
+    return docs.withColumn(number, row).join(copies, number).withColumn(
+        turn, F.explode(F.sequence(F.lit(1), F.col(times)))
     ).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, byte_slices, folded, share, shared, table, training_labels, whole
+from .common import bounded_sample, byte_slices, folded, free_names, share, shared, table, training_labels, whole
 
 SAMPLE_DOCS = 4_000
 #: Features of one line before those of its neighbours are added.
@@ -224,12 +224,13 @@ def score(spark: SparkSession, docs: DataFrame, field: Field, threshold: float =
     model = share(spark, field)
     docs = docs.drop("score", "predicted")
     names = docs.columns
-    body = whole().alias("_text")
+    (held,) = free_names(names, "_text")
+    body = whole().alias(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared(model)
-        for batch in byte_slices(batches, "_text", 4 << 20):
-            scores = known.scores(batch.column("_text").to_pylist())
+        for batch in byte_slices(batches, held, 4 << 20):
+            scores = known.scores(batch.column(held).to_pylist())
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(scores)], [*names, "score"])
 
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", score double"

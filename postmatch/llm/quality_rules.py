@@ -12,7 +12,7 @@ import time
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, Stager, table, whole, words_of
+from .common import BLANKS, Stager, free_names, table, whole, words_of
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -25,25 +25,26 @@ def base_stats(df: DataFrame, text: str = "text") -> DataFrame:
     two different windows of one text share a hash with probability below 2e-10 even at 100,000 words.
     """
     body = whole(text)
-    words = df.withColumn("_words", words_of(body))
-    n = F.size("_words")
-    key = lambda x, i: F.xxhash64(x, *[F.get("_words", i + k) for k in range(1, WINDOW)])
+    listed, parted, ordered = free_names(df.columns, "_words", "_lines", "_sorted")
+    words = df.withColumn(listed, words_of(body))
+    n = F.size(listed)
+    key = lambda x, i: F.xxhash64(x, *[F.get(listed, i + k) for k in range(1, WINDOW)])
     windows = F.transform(
-        F.slice("_words", 1, F.greatest(n - WINDOW + 1, F.lit(0))), lambda x, i: F.struct(key(x, i).alias("h"), i.alias("i"))
+        F.slice(listed, 1, F.greatest(n - WINDOW + 1, F.lit(0))), lambda x, i: F.struct(key(x, i).alias("h"), i.alias("i"))
     )
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    steps = words.withColumns({"_lines": lines, "_sorted": F.sort_array(windows)})
-    same = lambda x, j: F.coalesce(F.get("_sorted", j)["h"] == x["h"], F.lit(False))
+    steps = words.withColumns({parted: lines, ordered: F.sort_array(windows)})
+    same = lambda x, j: F.coalesce(F.get(ordered, j)["h"] == x["h"], F.lit(False))
     starts = F.filter(
-        F.transform("_sorted", lambda x, j: F.when(same(x, j - 1) | same(x, j + 1), x["i"])), lambda i: i.isNotNull()
+        F.transform(ordered, lambda x, j: F.when(same(x, j - 1) | same(x, j + 1), x["i"])), lambda i: i.isNotNull()
     )
     covered = F.aggregate(
         F.sort_array(starts), F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).cast("long").alias("total")),
         lambda a, s: F.struct(s.alias("last"), (a["total"] + F.least(F.lit(WINDOW), s - a["last"])).alias("total")),
     )["total"]
     stats = {
-        "n_words": n, "word_chars": F.length(F.array_join("_words", "")), "n_symbols": F.length(F.regexp_replace(body, f"[^{SYMBOLS}]+", "")),
-        "n_lines": F.size("_lines"), "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
+        "n_words": n, "word_chars": F.length(F.array_join(listed, "")), "n_symbols": F.length(F.regexp_replace(body, f"[^{SYMBOLS}]+", "")),
+        "n_lines": F.size(parted), "n_dup_lines": F.size(parted) - F.size(F.array_distinct(parted)),
         "n_repeat_words": F.coalesce(covered, F.lit(0)),
     }
     # Generated columns stop filters from being pushed down, which would work out the sorted windows again for each window.
