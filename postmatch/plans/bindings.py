@@ -330,3 +330,21 @@ def _whole_body(name: str, opening: str, separator: str, closing: str) -> Column
 def asked(profiles: DataFrame) -> DataFrame:
     """Which user made which request: the title and the brand they look for."""
     return profiles.select("user_id", F.concat("job_title", F.lit("|"), "location").alias("request_id"))
+
+
+def searching_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles whose title and skills are what their users search feeds and sources for."""
+    return view(spark, sf_dir, "profiles").drop("job_title", "skills").join(view(spark, sf_dir, "feed_searches"), "user_id")
+
+
+def landed(spark: SparkSession, sf_dir: str, requests: DataFrame, names: list[str]) -> DataFrame:
+    """Payload rows of the sources ``names`` under the requests that were made: rows (source, request_id, wanted), wanted being name and brand."""
+    out = None
+    for name in names:
+        part = payloads(spark, sf_dir, name)
+        if name not in ("arbeitnow", "weworkremotely"):
+            asked_for = requests.where(F.col("source") == name).select("request_id", "wanted").distinct()
+            part = part.withColumn("wanted", F.replace("request_id", F.lit("|"), F.lit(" "))).drop("request_id").join(asked_for, "wanted")
+        part = part.select("request_id", "source", "payload_no", "payload")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -643,6 +643,36 @@ ORACLES["run_stats"] = f"""{run(TS)} SELECT {TS} AS last_run_at, count(*) AS sub
   count(*) FILTER (WHERE outcome = 'skipped_no_preferences') AS skipped_no_preferences,
   count(*) FILTER (WHERE outcome = 'error') AS errors, CAST(coalesce(sum(collected), 0) AS BIGINT) AS total_jobs_collected,
   CAST(0 AS BIGINT) AS skipped_analyses FROM told"""
+
+
+def _searched(name: str) -> str:
+    """The twin of one source where users ask for what they search feeds for: title and brand in one text."""
+    sql = ORACLES[f"source_{name}"]
+    if name == "arbeitnow":
+        return sql
+    asked = f"SELECT w.* REPLACE (s.job_title AS job_title, s.skills AS skills) FROM ({duck_sql('profiles')}) w JOIN ({duck_sql('feed_searches')}) s USING (user_id)"
+    return sql.replace(duck_sql("profiles"), asked).replace("p_name = job_title", "p_name || ' ' || p_brand = job_title")
+
+
+def collected_run() -> str:
+    """CTEs of a run over the postings of all sources: matched and told. A posting is known by its user and arrival."""
+    parts = " UNION ALL ".join(f"SELECT * FROM ({_searched(n)})" for n in (
+        "arbeitnow", "remotive", "mostaql", "tanqeeb", "bayt", "wuzzuf", "forasna", "adzuna", "jooble", "jsearch"))
+    return f"""{ctes('analysed_parts', 'subscription_log')}, wide AS ({duck_sql('profiles')}),
+subs AS {subscribers()},
+profiles AS (SELECT w.* REPLACE (s.job_title AS job_title, s.skills AS skills) FROM wide w JOIN ({duck_sql('feed_searches')}) s USING (user_id)
+  WHERE w.user_id % 7 <> 3 AND w.user_id IN (SELECT user_id FROM subs)),
+postings_p AS (SELECT * REPLACE (user_id::HUGEINT * 1000000000000000 + arrival_idx AS arrival_idx,
+    CASE WHEN skills = '' THEN CAST([] AS VARCHAR[]) ELSE string_split(skills, '|') END AS skills), application_url AS url FROM ({parts})
+  WHERE user_id IN (SELECT user_id FROM profiles) AND trim(coalesce(title, '')) <> '' AND trim(coalesce(company, '')) <> ''
+    AND regexp_matches(coalesce(application_url, ''), '^https?://[^/]+') AND publication_date >= {TS} - INTERVAL 7 DAY),
+{identified()}, hits AS (SELECT user_id, arrival_idx FROM idp), {SCORED}, kept AS {survivors('scored')},
+matched AS (SELECT *, score >= 40 AS fresh FROM kept),
+told AS (SELECT user_id FROM profiles WHERE user_id NOT IN (SELECT user_id FROM matched WHERE fresh))"""
+
+
+ORACLES["collected_outbox"] = f"""{collected_run()} {_OUTBOX} FROM matched WHERE fresh
+UNION ALL SELECT user_id, 1, 'no_match', '{_NO_MATCH}', NULL, NULL, NULL FROM told"""
 ORACLES["due_run_outcomes"] = f"""{run(_SEVEN, f"list_contains(notification_times, strftime({local(_SEVEN, _ZONE)}, '%H:%M'))")}
 SELECT user_id, outcome FROM told"""
 ORACLES["simple_notifications"] = f"""{ctes('postings_p', 'analysed_parts', 'subscription_log')}, all_profiles AS ({duck_sql('profiles')}),

@@ -263,7 +263,7 @@ def _lot_profiles(spark: SparkSession, sf: str) -> DataFrame:
 def _feed_profiles(spark: SparkSession, sf: str, feed: str) -> DataFrame:
     if feed == "weworkremotely":
         return _lot_profiles(spark, sf)
-    return B.view(spark, sf, "profiles").drop("job_title", "skills").join(B.view(spark, sf, "feed_searches"), "user_id")
+    return B.searching_profiles(spark, sf)
 
 
 def _flat(postings: DataFrame) -> DataFrame:
@@ -661,6 +661,28 @@ def run_stats(spark, sf):
     return pipeline.plan_run(_inputs(spark, sf), now(), stage=Stager(spark)).stats
 
 
+#: Sources of the run from payloads to messages.
+RUN_SOURCES = ("arbeitnow", "remotive", "mostaql", "tanqeeb", "bayt", "wuzzuf", "forasna", "adzuna", "jooble", "jsearch")
+
+
+@query
+def collected_outbox(spark, sf):
+    """A whole run from landed payloads: requests of the users, sources, union, duplicates, scores, messages."""
+    stage, profiles = Stager(spark), B.searching_profiles(spark, sf).where("user_id % 7 <> 3")
+    specs = [s for s in active_sources(ALL_KEYS) if s.name in RUN_SOURCES]
+    made = user_requests(query_columns(profiles), [s for s in specs if not s.shared_feed])
+    wanted = made.join(profiles.select("user_id", F.col("job_title").alias("wanted")), "user_id")
+    payloads = stage(B.landed(spark, sf, wanted, [s.name for s in specs]), "payloads")
+    nothing = B.view(spark, sf, "subscription_log").where("false")
+    inputs = pipeline.RunInputs(
+        subscription_log=B.view(spark, sf, "subscription_log"), preferences=profiles,
+        collector=lambda people: sources.collect_from_sources(payloads, people, specs, now(), stage=stage),
+        analyses=_analyses(spark, sf).where("false"),
+        sent_log=nothing.selectExpr("user_id", "CAST(NULL AS STRING) AS fingerprint", "ts AS sent_at"),
+    )
+    return pipeline.plan_run(inputs, now(), stage=stage).outbox
+
+
 @query
 def due_run_outcomes(spark, sf):
     at = F.lit("2024-01-30 07:00:00").cast("timestamp")

@@ -5,15 +5,25 @@ A staged table survives the loss of executors: its readers start from files inst
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset, a folder in the session's warehouse, which executors share too."""
+    """``spark.checkpoint.dir`` of the session; where it is unset, a folder in the session's warehouse.
+
+    The default warehouse is a folder of the driver's machine, which other machines do not see: a cluster has to name one of the two.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stage"
+    if folder:
+        return folder
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    named = spark.sparkContext.getConf().get("spark.sql.warehouse.dir", None) is not None
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir or spark.sql.warehouse.dir to a folder that all machines share")
+    return f"{warehouse}/_stage"
 
 
 class Stager:
