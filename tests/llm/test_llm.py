@@ -381,8 +381,11 @@ def test_distributions_sum_to_one():
     tree = suffix_tree.build_tree([level], root)
     assert tree.kept[1:].any()
     for before in (0, 1, 2, 3):
-        total = sum(10 ** tree.score(np.array([before, w]), np.array([0]))[1] for w in range(4))
-        other = 10 ** tree.score(np.array([before, -1]), np.array([0]))[1] * (1 - root.sum())
+        def score(w):
+            flat = np.array([before, w])
+            return 10 ** tree.score(flat, suffix_tree.states(tree.levels, flat, np.array([0])))[1]
+
+        total, other = sum(map(score, range(4))), score(-1) * (1 - root.sum())
         assert total + other == pytest.approx(1)
 
 
