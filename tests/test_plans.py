@@ -32,6 +32,10 @@ def test_keyword_search_shuffles_hits_only(spark):
     assert text.count("MapInArrow") >= 1 and "body" not in "".join(line for line in text.splitlines() if "hashpartitioning" in line)
 
 
+def test_requests_are_counted_without_sorting(spark):
+    assert "SortAggregate" not in plan(spark, "request_table")
+
+
 def test_survivors_aggregate_before_the_shuffle(spark):
     text = plan(spark, "dedup_survivors")
     assert "partial_max_by" in text and "Window" not in text
