@@ -37,6 +37,15 @@ def due_users(preferences: DataFrame, now, timezone: str = DEFAULT_TIMEZONE,
     ).drop("zone", "times")
 
 
+def distinct_schedules(preferences: DataFrame) -> DataFrame:
+    """Every (timezone, notification_times) once, for slots, which depend on nothing else of a user.
+
+    The times hang on the count, so that a filter on the slot stays above the aggregate and isn't worked out for every user.
+    """
+    found = preferences.groupBy("timezone", "notification_times").agg(F.count(F.lit(1)).alias("n_users"))
+    return found.withColumn("notification_times", F.when(F.col("n_users") > 0, F.col("notification_times")))
+
+
 def latest_slots(preferences: DataFrame, now) -> DataFrame:
     """Add ``slot`` struct (key, lag_minutes); unlike the others it does not default an empty list."""
     return preferences.withColumn(

@@ -621,7 +621,7 @@ def earliest_run(spark, sf):
 def slot_claims(spark, sf):
     """Slots due per user zone at NOW, against a ledger of the runs customers' orders stand for."""
     at = F.lit("2024-01-30 19:05:00").cast("timestamp")
-    slots = schedule.latest_slots(B.view(spark, sf, "profiles"), at).where("slot IS NOT NULL").select(
+    slots = schedule.latest_slots(schedule.distinct_schedules(B.view(spark, sf, "profiles")), at).where("slot IS NOT NULL").select(
         F.concat("timezone", F.lit(":"), "slot.key").alias("slot_key"), "slot.lag_minutes"
     )
     ledger = B.view(spark, sf, "profiles").where("user_id % 50 = 0").select(

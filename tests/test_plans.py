@@ -36,6 +36,12 @@ def test_requests_are_counted_without_sorting(spark):
     assert "SortAggregate" not in plan(spark, "request_table")
 
 
+def test_slots_are_worked_out_per_schedule(spark):
+    """No operator below the aggregate over schedules turns clocks."""
+    lines = plan(spark, "slot_claims").splitlines()
+    assert not any("from_utc_timestamp" in line and line.startswith("Condition") and "n_users" not in line for line in lines)
+
+
 def test_survivors_aggregate_before_the_shuffle(spark):
     text = plan(spark, "dedup_survivors")
     assert "partial_max_by" in text and "Window" not in text
