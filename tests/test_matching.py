@@ -204,3 +204,36 @@ def test_built_in_analyser(spark):
     assert (made["frontend"]["level"], made["frontend"]["work_type"], made["frontend"]["skills"]) == ("lead", "remote", [])
     done = analyze.analyse_within(rows, analyze.KEYWORDS, F.lit(NOW), budget.Budget(rows=2))
     assert done.good.count() == 2 and [r["reason"] for r in done.skipped.collect()] == ["count"] and done.rejected is None
+
+
+def test_brought_to_users_equals_search_and_joins(spark):
+    """Repeated items, users and keywords, null texts, several keywords that find a pair, users without keywords."""
+    feed = spark.createDataFrame(
+        [(1, "red ring steel"), (2, "blue bolt"), (2, "old ring"), (3, None), (None, "ring"), (4, ""), (5, "ring ring bolt")], "ordinal long, body string")
+    items = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (3, "c"), (None, "d"), (4, "e"), (5, None)], "ordinal long, name string")
+    searches = spark.createDataFrame(
+        [(1, "Ring", ["bolt", "ring", None, ""]), (1, "steel", None), (2, None, None), (3, "nothing", []), (None, "ring", None), (4, "bolt", ["ring", "in"])],
+        "user_id long, job_title string, skills array<string>")
+    users = spark.createDataFrame([(1, "x"), (1, "y"), (2, None), (3, "z"), (4, "w"), (None, "n"), (9, "none")], "user_id long, mark string")
+    expected = collect.keyword_search(feed, "body", searches, True).join(items, "ordinal").join(users, "user_id")
+    got = collect.brought_to_users(feed, "body", items, searches, users, True)
+    assert sorted(got.columns) == sorted(expected.columns)
+    rows = [sorted(map(str, df.select("user_id", "ordinal", "name", "mark").collect())) for df in (got, expected)]
+    assert rows[0] == rows[1] and len(rows[0]) == 17
+
+
+def test_many_users_of_a_keyword_are_dealt_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(collect, "SEARCHERS_PER_BLOCK", 3)
+    feed = spark.range(7).selectExpr("id AS ordinal", "concat('ring ', id) AS body")
+    searches = spark.range(50).selectExpr("id AS user_id", "'ring' AS job_title", "array(CAST(id % 9 AS STRING)) AS skills")
+    got = collect.brought_to_users(feed, "body", feed, searches, searches.select("user_id"), True).select("user_id", "ordinal").collect()
+    assert len(got) == len(set(got)) == 350
+
+
+def test_unsent_by_what_users_carry(spark):
+    matches = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (3, None), (None, "a"), (1, None)], "user_id long, fingerprint string")
+    log = spark.createDataFrame([(1, "a", NOW, "t", "c"), (1, None, NOW, "t", "c"), (3, "x", NOW, "t", "c"), (1, "a", NOW, "t", "c")], SENT_LOG)
+    users = matches.select("user_id").distinct()
+    carried = matches.join(notify.with_sent(users, log, F.lit(NOW)), "user_id", "left")
+    got, expected = (sorted(map(str, notify.unsent(df, log, F.lit(NOW)).select(*matches.columns).collect())) for df in (carried, matches))
+    assert got == expected and len(got) == 5

@@ -32,6 +32,13 @@ def test_keyword_search_shuffles_hits_only(spark):
     assert text.count("MapInArrow") >= 1 and "body" not in "".join(line for line in text.splitlines() if "hashpartitioning" in line)
 
 
+@pytest.mark.parametrize("name", ["rule_scores", "analysis_scores", "unsent_matches"])
+def test_pairs_of_users_and_postings_are_not_shuffled(spark, name):
+    moved = [line for line in plan(spark, name).splitlines() if "hashpartitioning" in line]
+    assert any("keyword" in line and "_block" in line for line in moved)
+    assert not any("user_id" in line and "arrival_idx" in line for line in moved)
+
+
 def test_requests_are_counted_without_sorting(spark):
     assert "SortAggregate" not in plan(spark, "request_table")
 
