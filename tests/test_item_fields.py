@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,3 +54,30 @@ def test_found_by_users_equals_pairs(spark, monkeypatch, block):
     columns = ["user_id", "ordinal", "body", "q_title"]
     count = lambda df: sorted(tuple(map(str, r)) for r in df.select(*columns).collect())
     assert count(new) == count(old) and len(count(old)) > 30
+
+
+@pytest.mark.parametrize("block", [256, 2])
+@pytest.mark.parametrize("name", ["bayt", "tanqeeb", "adzuna", "firecrawl"])
+def test_items_are_finished_before_they_go_to_users(spark, monkeypatch, name, block):
+    """Same rows as with a join per user; whatever reads text is worked out below the step to the users."""
+    monkeypatch.setattr(sources, "ASKERS_PER_BLOCK", block)
+    spec = SOURCES[name]
+    pages = {
+        "bayt": '<ul><li data-js-job="1"><h2><a href="/en/1">a</a></h2></li><li data-js-job="2"><h2><a href="/2">b</a></h2><span class="t-mute">Remote</span></li></ul>',
+        "tanqeeb": '<article><h2><a href="x">a</a></h2></article><article><h2><a href="y">b</a></h2><p>remote</p></article>',
+        "adzuna": '{"results":[{"title":"","description":"<p>b</p>"},{"title":"<b>c</b>","location":{"display_name":"work from home"}}]}',
+        "firecrawl": '{"success":true,"data":{"extract":{"jobs":[{"title":" ","company":"c"},{"title":"d","company":"c","location":" remote "}]}}}',
+    }
+    landed = [(r, name, n, pages[name]) for n, r in enumerate(["r", "s", None])]
+    payloads = spark.createDataFrame(landed, "request_id string, source string, payload_no long, payload string")
+    rows = [(1, "a", "remote", "mid", None, ["x"]), (2, "a", "remote", None, None, None), (3, "a", "", "mid", "Gaza", ["y"]), (4, None, None, "any", "", []),
+            (4, "a", "remote", "mid", None, ["z"]), (5, "a", "remote", "mid", "Remote", ["x"]), (None, "a", None, None, None, None)]
+    people = spark.createDataFrame(rows, PEOPLE)
+    asked = spark.createDataFrame([(u, r) for u in (1, 2, 3, 4, 5, 5, None) for r in ("r", "s", "t", None)], "user_id long, request_id string")
+    items = spec.items(payloads)
+    new = sources.requested_postings(items, asked, people, spec, now())
+    old = sources.requested_postings(items, asked, people, replace(spec, user_fields=None), now())
+    count = lambda df: sorted(str(r) for r in df.collect())
+    assert count(new) == count(old) and len(count(old)) == 28 and new.schema == old.schema
+    text = new._jdf.queryExecution().optimizedPlan().toString()
+    assert "rlike" in text.lower() and text.lower().index("rlike") > text.index("Generate inline")
