@@ -1,9 +1,10 @@
 """The rare contexts of a suffix tree: all of them, by absolute counts, two and three words long.
 
-A context of two words that is too rare for the shared head of the tree is looked at in a bucket of its own, chosen by its two words. Every
-token behind such a context goes there with the three words in front of it, from training texts and from texts to score alike, so
-one shuffle both counts the contexts and answers the texts. Nothing but a bucket is held in memory: about ``bucket_rows`` tokens, and
-at most the head's share of contexts more, since a context above that share is not sent.
+A context of two words that is too rare for the shared head of the tree is looked at in a bucket of its own, chosen by its two words; where
+these are in the head and only the three words are too rare for it, the bucket is chosen by the three. Every token behind such a context
+goes there with the three words in front of it, from training texts and from texts to score alike, so one shuffle both counts the
+contexts and answers the texts. Nothing but a bucket is held in memory: about ``bucket_rows`` tokens, and at most the head's share of
+contexts more, since a context above that share is not sent.
 
 A context is a candidate if training texts hold it :data:`LEAST` times or more, a symbol is listed if it follows as often, and the context
 stays if its distribution diverges from that of the suffix by more than chance. So what is gathered grows with the corpus.
@@ -78,9 +79,11 @@ def texts_from_bytes(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(texts).astype("int64"), np.cumsum([0, *map(len, texts[:-1])])
 
 
-def packed(context: np.ndarray, symbol: np.ndarray, rows: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """(bucket, tokens) by the two words of the context; ``rows`` holds for every token what :func:`answers` gives back."""
+def packed(context: np.ndarray, symbol: np.ndarray, rows: np.ndarray, buckets: int, by_three: np.ndarray | None = None) -> Iterator[tuple[int, bytes]]:
+    """(bucket, tokens) by the two words of the context, or by three where ``by_three`` says so; ``rows`` holds for every token what :func:`answers` gives back."""
     mixed = context[0].astype("uint64") * np.uint64(0x9E3779B97F4A7C15) ^ context[1].astype("uint64") * np.uint64(0xC2B2AE3D27D4EB4F)
+    if by_three is not None:
+        mixed ^= np.where(by_three, context[2].astype("uint64") * np.uint64(0x165667B19E3779F9), np.uint64(0))
     mixed ^= mixed >> np.uint64(29)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
     bucket = ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype("int32")
@@ -101,8 +104,8 @@ def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return _restored(raw[:cut], DEEPEST + 1), np.cumsum(_restored(raw[cut:], 1, "int64")[0])
 
 
-def gains(words: np.ndarray, learn: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """For every token of a bucket, log10 of what the deep contexts multiply its probability ``p`` with.
+def gains(words: np.ndarray, learn: np.ndarray, p: np.ndarray, shallowest: int = 2) -> np.ndarray:
+    """For every token of a bucket, log10 of what the contexts of ``shallowest`` words and more multiply its probability ``p`` with.
 
     ``learn`` marks the tokens of training texts. Only words of the head are listed; others take the weight that is left. A token's
     context is the longest kept one; each kept context gives (count - discount) / n and hands the rest to the next shorter.
@@ -118,6 +121,8 @@ def gains(words: np.ndarray, learn: np.ndarray, p: np.ndarray) -> np.ndarray:
         if not len(alive):
             break
         _, group = np.unique(group, return_inverse=True)
+        if depth < shallowest:
+            continue
         n = np.bincount(group, weights=learn[alive])
         often = n[group] >= LEAST
         alive, group = alive[often], group[often]
@@ -142,10 +147,11 @@ def gains(words: np.ndarray, learn: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.log10(now) - np.log10(p)
 
 
-def answers(blobs: list[bytes], probability: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def answers(blobs: list[bytes], head: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """(row, sum of gains) of the texts that a bucket changes; rows as :func:`marked` makes them.
 
-    ``probability(word in front, symbol)`` is what the head of the tree gives for it (1 for words outside the head).
+    ``head(words in front, symbol)`` is the probability that the head of the tree gives (1 for words outside the head), and whether the two
+    words in front are a context of the head, so that only the three are looked at here.
     """
     parts = [unpacked(b) for b in blobs]
     words, rows = np.concatenate([w for w, _ in parts], axis=1), np.concatenate([r for _, r in parts])
@@ -155,9 +161,13 @@ def answers(blobs: list[bytes], probability: Callable[[np.ndarray, np.ndarray],
     piece = (words[0] * np.int32(31) + words[1]) % PIECES
     for k in range(PIECES):
         at = np.flatnonzero(piece == k)
-        own = words[:, at]
-        if len(at):
-            gain[at] = gains(own, (rows[at] & 1).astype(float), probability(own[0].astype("int64"), own[DEEPEST].astype("int64")))
+        if not len(at):
+            continue
+        own, learn = words[:, at], (rows[at] & 1).astype(float)
+        p, known = head(own[:2].astype("int64"), own[DEEPEST].astype("int64"))
+        for shallowest, of in ((2, np.flatnonzero(~known)), (3, np.flatnonzero(known))):
+            if len(of):
+                gain[at[of]] = gains(own[:, of], learn[of], p[of], shallowest)
     changed = (gain != 0) & (rows & 2 > 0)
     texts, where = np.unique(rows[changed] >> 2, return_inverse=True)
     return texts, np.bincount(where, weights=gain[changed], minlength=len(texts))

@@ -2,7 +2,7 @@
 
 The tree has a head that every task holds and a rest that grows with the corpus. In the head are contexts of up to ``depth`` words that make
 up at least ``context_share`` of all tokens, with symbols that follow them at least ``entry_share`` of all tokens, so both tables are bounded
-by 1 / share whatever the corpus holds. All contexts of two and three words whose last two are rarer than that are counted in buckets
+by 1 / share whatever the corpus holds. All contexts of two and three words that are rarer than that are counted in buckets
 (:mod:`.deep_contexts`) by absolute counts. A candidate stays in the tree if its distribution diverges from that of its suffix by more than
 chance. What a distribution doesn't list is left to its suffix with the remaining weight; the root holds the counts of every word,
 those too rare for the broadcast joined by shuffle.
@@ -63,8 +63,9 @@ def states(levels: list[Level], ids: np.ndarray, starts: np.ndarray) -> list[np.
     start = look_up(levels[0].keys, np.array([0]))[0] if levels else -1  # id 0 is the end symbol
     out: list[np.ndarray] = []
     for d, level in enumerate(levels):
-        key = ids if d == 0 else np.where((out[d - 1] >= 0) & (ids >= 0), (out[d - 1] << 32) | ids, -1)
-        after = np.where(key >= 0, look_up(level.keys, key), -1)
+        after = np.full(len(ids), -1, "int64")
+        at = np.flatnonzero(ids >= 0 if d == 0 else (out[d - 1] >= 0) & (ids >= 0))
+        after[at] = look_up(level.keys, ids[at] if d == 0 else (out[d - 1][at] << 32) | ids[at])
         before = np.empty_like(after)
         before[1:] = after[:-1]
         before[starts] = start if d == 0 else -1
@@ -151,12 +152,12 @@ class Tree:
         total[root] += self.log_root[flat[root]]
         return total
 
-    def behind(self, word: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """Probability of symbols behind single words; 1 for symbols outside the head."""
+    def behind(self, words: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probability of symbols behind two words, nearest first (1 for symbols outside the head), and whether the two are a context of the head."""
         inside = symbol < deep_contexts.RARE
-        flat = np.where(inside, symbol, -1)
-        state = look_up(self.levels[0].keys, word) if self.levels else np.full(len(word), -1)
-        return np.where(inside, 10 ** self.score(flat, [state]), 1.0)
+        near, far = (look_up(self.levels[0].keys, w) if self.levels else np.full(len(w), -1) for w in words)
+        both = look_up(self.levels[1].keys, np.where(far >= 0, (far << 32) | words[0], -1)) if len(self.levels) > 1 else np.full(len(near), -1)
+        return np.where(inside, 10 ** self.score(np.where(inside, symbol, -1), [near, both]), 1.0), both >= 0
 
 
 def build_tree(levels: list[Level], root: np.ndarray) -> Tree:
@@ -217,12 +218,13 @@ def _through_buckets(coded: DataFrame, tree, buckets: int, stage: Stager) -> Dat
             at = states(model.levels, flat, starts)
             sums = np.add.reduceat(model.score(flat, at), starts)
             place, context = deep_contexts.before(full, starts)
-            # What has a context of two words in the head stays there.
-            deep = np.flatnonzero((place > 0) & (at[1] < 0 if len(at) > 1 else True))
+            # What has a context of three words in the head stays there; where two words are in it, the three are looked at.
+            known = at[1] >= 0 if len(at) > 1 else np.zeros(len(full), bool)
+            deep = np.flatnonzero(np.where(known, (place > 1) & (at[2] < 0 if len(at) > 2 else True), place > 0))
             text = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(full))))[deep]
             mark = deep_contexts.marked(row, learn, score)[text]
             asked = [(-1 - int(row[0]), row[score].tobytes() + sums[score].tobytes())]
-            asked += deep_contexts.packed(context[:, deep], full[deep], mark, buckets)
+            asked += deep_contexts.packed(context[:, deep], full[deep], mark, buckets, known[deep])
             keys, blobs = zip(*asked, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
@@ -248,7 +250,7 @@ def _through_buckets(coded: DataFrame, tree, buckets: int, stage: Stager) -> Dat
     return answered.groupBy("block").applyInArrow(total, "_row long, gain double")
 
 
-def score_documents(spark: SparkSession, docs: DataFrame, training: DataFrame | None = None, depth: int = 2,
+def score_documents(spark: SparkSession, docs: DataFrame, training: DataFrame | None = None, depth: int = deep_contexts.DEEPEST,
                     head_share: float = HEAD_SHARE, context_share: float = CONTEXT_SHARE, entry_share: float = ENTRY_SHARE,
                     bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``docs`` (doc_id, text, held_out) scored by a tree that ``training`` (text) gives; one row per input row.

@@ -96,3 +96,16 @@ def test_no_training_and_no_rows(spark):
     frame = spark.createDataFrame([(1, "a b c d e", True), (None, None, None)], "doc_id long, text string, held_out boolean")
     assert all(r["score"] == 0 for r in suffix_tree.score_documents(spark, frame).collect())
     assert suffix_tree.score_documents(spark, frame.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3])
+def test_three_words_count_behind_a_common_pair(spark, depth):
+    """Behind a pair of the head the third word tells what follows; it tells so whatever the depth of the head."""
+    texts = [f"k{i} p q r{i}" for i in range(50) for _ in range(4)]
+    rows = [(i, t, False) for i, t in enumerate(texts)]
+    rows += [(1000 + i, f"k{i} p q r{i}", True) for i in range(5)] + [(2000 + i, f"k{i} p q r{i + 7}", True) for i in range(5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").repartition(3, "doc_id")
+    for options in ({}, {"bucket_rows": 20}):
+        got = {r["doc_id"]: r["score"] for r in suffix_tree.score_documents(
+            spark, frame, depth=depth, context_share=1e-2, entry_share=1e-3, **options).collect()}
+        assert all(got[1000 + i] > got[2000 + i] + 1 for i in range(5))
